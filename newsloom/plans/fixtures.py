@@ -60,7 +60,7 @@ SELECT 't' || CAST(item_id % 97 AS STRING) AS thread_id, item_id, task_id, title
  CASE WHEN item_id < 97 AND item_id % 2 = 0 THEN 'initial_item' WHEN item_id < 97 THEN 'no_match' ELSE 'score' END AS match_reason
 FROM v_items""",
     "v_threads": """
-SELECT thread_id, max_by(title, length(title) * 1000000000 - item_id) AS title, min(fetched_at) AS first_seen_at,
+SELECT thread_id, max_by(title, CAST(length(title) AS BIGINT) * 1000000000 - item_id) AS title, min(fetched_at) AS first_seen_at,
  max(fetched_at) AS last_seen_at, count(*) AS item_count FROM v_thread_items GROUP BY thread_id""",
     "v_relations": """
 SELECT least(a, b) AS thread_a, greatest(a, b) AS thread_b, max(s) AS similarity,

@@ -11,19 +11,16 @@ from newsloom.functions.text import strip
 
 PRESET_SCHEMA = (
     "id string, name string, source_url string, selector_list string, selector_title string, "
-    "selector_link string, selector_summary string, selector_next_page string, keywords array<string>, "
-    "cron_expression string, category string, subcategory string, content_kind string"
+    "selector_link string, selector_summary string, description string, default_keywords array<string>, "
+    "recommended_cron string, category string, subcategory string, content_kind string"
 )
 # What a preset must hold.
 PRESET_REQUIRED = ("id", "name", "source_url", "selector_list", "selector_title", "selector_link")
 
 
 def complete_rows(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Rows whose required text fields are all present and not blank."""
-    keep = F.lit(True)
-    for name in required:
-        keep = keep & (strip(F.coalesce(F.col(name).cast("string"), F.lit(""))) != "")
-    return df.filter(keep)
+    """Rows that hold every required field."""
+    return df.dropna(subset=list(required))
 
 
 def read_presets(spark: SparkSession, path: str, required: Sequence[str] = PRESET_REQUIRED) -> DataFrame:

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import strip
 from newsloom.functions.urls import resolve_url
@@ -210,16 +211,18 @@ def _last_in_pagination(tree: _Tree, index: int) -> bool:
     return siblings[-1] == index and any(tree.inside(index, b) for b in boxes)
 
 
-_STRUCTURE = ("list_selector string, candidate_count int, title_selector string, link_selector string, "
-              "summary_selector string, next_page_selector string, "
-              "samples array<struct<title:string,href:string,summary:string>>")
+_SAMPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "href", "summary")])
+_STRUCTURE = T.StructType([
+    T.StructField("list_selector", T.StringType()), T.StructField("candidate_count", T.IntegerType()),
+    T.StructField("title_selector", T.StringType()), T.StructField("link_selector", T.StringType()),
+    T.StructField("summary_selector", T.StringType()), T.StructField("next_page_selector", T.StringType()),
+    T.StructField("samples", T.ArrayType(_SAMPLE)),
+])
 
 
 @F.pandas_udf(_STRUCTURE)
 def _structures(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_structure(h) for h in html], columns=[c.split()[0] for c in (
-        "list_selector", "candidate_count", "title_selector", "link_selector", "summary_selector",
-        "next_page_selector", "samples")])
+    return pd.DataFrame([_structure(h) for h in html], columns=_STRUCTURE.names)
 
 
 def page_structure(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

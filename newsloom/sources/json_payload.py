@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import strip
 from newsloom.functions.urls import link_path, prefixed_link
@@ -106,10 +107,13 @@ def _shape(body: str | None) -> tuple[str, str, str, str]:
     return path, pick(TITLE_FIELDS, "title"), pick(LINK_FIELDS, "url"), pick(SUMMARY_FIELDS, "")
 
 
-@F.pandas_udf("list_path string, title_field string, link_field string, summary_field string")
+_SHAPE = T.StructType([
+    T.StructField(n, T.StringType()) for n in ("list_path", "title_field", "link_field", "summary_field")])
+
+
+@F.pandas_udf(_SHAPE)
 def _shapes(bodies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_shape(b) for b in bodies],
-                        columns=["list_path", "title_field", "link_field", "summary_field"])
+    return pd.DataFrame([_shape(b) for b in bodies], columns=_SHAPE.names)
 
 
 def infer_shape(payloads: DataFrame, source: str, body: str = "body") -> DataFrame:

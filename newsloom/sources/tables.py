@@ -22,10 +22,15 @@ RUN_EVENT_SCHEMA = (
 
 # The states and kinds a row may carry.
 EXECUTION_STATUSES = ("running", "success", "warning", "failure", "interrupted")
+TASK_STATUSES = ("active", "paused", "error")
 INTERACTION_TYPES = (
-    "view", "click", "star", "unstar", "read", "unread", "impression", "dwell", "click_source",
-    "hide", "not_interested", "share", "save", "skip",
+    "view", "click", "dwell", "star", "share", "impression", "open", "click_source", "unstar",
+    "read", "hide", "thread_expand", "search", "not_interested",
 )
+AFFINITY_TYPES = ("task", "platform", "keyword")
+OVERRIDE_TYPES = ("split", "merge", "reject_merge", "force_join")
+FEEDBACK_TYPES = ("not_interested", "hide_source", "mute_topic")
+RECEIPT_STATUSES = ("pending", "done", "failed")
 
 
 def decode_json(text: Column, schema: str) -> Column:
