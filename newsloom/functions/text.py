@@ -36,6 +36,16 @@ NON_WORD = r"[^\p{L}\p{N}_]"
 EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
+def let(body: Callable[..., Column], **values: Column) -> Column:
+    """`body` over named values that are computed once per row.
+
+    Inside a lambda, or when a struct is taken apart, Spark would otherwise evaluate an
+    expression again at every use.
+    """
+    bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(bound, lambda s: body(**{k: s[k] for k in values})), F.lit(0))
+
+
 @F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -78,21 +88,19 @@ def char_ngrams(text: Column, n: int = NGRAM) -> Column:
     A text shorter than n yields itself; an empty text yields no n-gram. Overlapping
     grams come from one look-ahead scan, so the cost is linear in the text length.
     """
-    clean = F.regexp_replace(F.lower(text), NON_WORD, "")
-    grams = F.array_distinct(F.regexp_extract_all(clean, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>"))
-        .when(F.length(clean) < n, F.array(clean))
-        .otherwise(grams)
-    )
+    def grams(clean: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(clean, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        return F.when(F.length(clean) < n, F.array(clean)).otherwise(found)
+
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
+        let(grams, clean=F.regexp_replace(F.lower(text), NON_WORD, "")))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
     """|a ∩ b| / |a ∪ b| of two arrays of distinct values; 0 when either is empty."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when(
-        (F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common)
-    ).otherwise(F.lit(0.0))
+    counts = let(
+        lambda a, b: F.struct(F.size(F.array_intersect(a, b)).alias("common"), (F.size(a) + F.size(b)).alias("sizes")), a=a, b=b)
+    return let(lambda n: F.when(n["common"] > 0, n["common"] / (n["sizes"] - n["common"])).otherwise(0.0), n=counts)
 
 
 def title_jaccard(a: Column, b: Column) -> Column:
@@ -152,7 +160,7 @@ def matches_keywords(title: Column, summary: Column, words: Column) -> Column:
     """Keyword filter: any non-blank keyword inside title or summary; none given keeps all."""
     usable = F.filter(F.transform(F.coalesce(words, F.array().cast("array<string>")),
                                   lambda w: strip(F.lower(w))), lambda w: w != "")
-    low_title, low_summary = F.lower(title), F.lower(F.coalesce(summary, F.lit("")))
-    return (F.size(usable) == 0) | F.exists(
-        usable, lambda w: F.contains(low_title, w) | F.contains(low_summary, w)
-    )
+    return let(
+        lambda words, title, summary: (F.size(words) == 0) | F.exists(
+            words, lambda w: F.contains(title, w) | F.contains(summary, w)),
+        words=usable, title=F.lower(title), summary=F.lower(F.coalesce(summary, F.lit(""))))
