@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import contains_any, normalize_text, strip
+from newsloom.functions.text import contains_any, let, normalize_text, strip
 
 # Keyword lists, checked in this order.
 CONTENT_TYPES = (
@@ -55,11 +55,14 @@ def _joined(title: Column, summary: Column) -> Column:
 
 
 def _first_rule(text: Column, rules, default: str) -> Column:
-    out = None
-    for label, needles in rules:
-        hit = contains_any(text, needles)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(default)
+    def choose(low: Column) -> Column:
+        out = None
+        for label, needles in rules:
+            hit = contains_any(low, needles)
+            out = F.when(hit, label) if out is None else out.when(hit, label)
+        return out.otherwise(default)
+
+    return let(choose, low=F.lower(text))
 
 
 def language(text: Column) -> Column:
@@ -70,11 +73,11 @@ def language(text: Column) -> Column:
 
 
 def content_type(title: Column, summary: Column) -> Column:
-    return _first_rule(F.lower(_joined(title, summary)), CONTENT_TYPES, "article")
+    return _first_rule(_joined(title, summary), CONTENT_TYPES, "article")
 
 
 def event_type(title: Column, summary: Column) -> Column:
-    return _first_rule(F.lower(_joined(title, summary)), EVENT_TYPES, "default")
+    return _first_rule(_joined(title, summary), EVENT_TYPES, "default")
 
 
 def event_window_hours(kind: Column) -> Column:

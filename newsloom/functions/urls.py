@@ -46,7 +46,7 @@ def _sorted_query(query: Column) -> Column:
         ),
     )
     return F.array_join(
-        F.transform(F.array_sort(parsed), lambda q: F.concat(_encode(q["k"]), F.lit("="), _encode(q["v"]))), "&"
+        F.transform(F.sort_array(parsed), lambda q: F.concat(_encode(q["k"]), F.lit("="), _encode(q["v"]))), "&"
     )
 
 

@@ -34,7 +34,7 @@ def roll_up(members: DataFrame, names: DataFrame | None = None) -> DataFrame:
     title_rank = F.struct(F.length("title"), -micros(F.col("fetched_at")), -F.col("item_id"))
     return rows.groupBy("thread_id").agg(
         F.count("*").alias("item_count"),
-        F.array_sort(F.collect_set(platform)).alias("platforms"),
+        F.sort_array(F.collect_set(platform)).alias("platforms"),
         F.max_by("title", title_rank).alias("title"),
         F.min("fetched_at").alias("first_seen_at"),
         F.max("fetched_at").alias("last_seen_at"))
@@ -76,7 +76,7 @@ def profile(members: DataFrame, names: DataFrame, as_of: str | datetime) -> Data
     whole = per_source.groupBy("thread_id").agg(
         F.sum("n").alias("item_count"),
         F.count("*").alias("platform_count"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("platform")))).alias("_sources"),
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("platform")))).alias("_sources"),
         F.sum("n6").alias("recent_6h_count"),
         F.sum("n24").alias("recent_24h_count"),
         F.round(hours_between(F.max("last"), F.min("first")), 1).alias("span_hours"),
@@ -149,7 +149,7 @@ def digest_prompts(threads: DataFrame, members: DataFrame, items: DataFrame, nam
     brief = F.substring(strip(F.coalesce("summary", F.lit(""))), 1, DIGEST_SUMMARY)
     line = F.concat(F.col("n").cast("string"), F.lit(". ["), source, F.lit("] "), strip(F.coalesce("title", F.lit(""))),
                     F.when(brief != "", F.concat(F.lit(f"\n{PROMPT_SUMMARY}"), brief)).otherwise(""))
-    texts = rows.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("lines"))
+    texts = rows.groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda r: r["line"]), "\n")
     return texts.join(todo.select("thread_id", "title"), "thread_id").select(
         "thread_id", F.concat(F.lit(PROMPT_TITLE), F.col("title"), F.lit(f"\n\n{PROMPT_MATERIAL}\n"), body).alias("prompt"))

@@ -67,7 +67,7 @@ def f01(t: Tables) -> DataFrame:
 @query("f02_tokenize", check=f"SELECT doc_id, array_to_string({token_set_sql('text')}, ' ') AS tokens FROM documents")
 def f02(t: Tables) -> DataFrame:
     return t.documents.select(
-        "doc_id", F.array_join(F.array_sort(text.tokenize(F.col("text"))), " ").alias("tokens"))
+        "doc_id", F.array_join(F.sort_array(text.tokenize(F.col("text"))), " ").alias("tokens"))
 
 
 @query("f03_title_jaccard", check=f"""WITH p AS ({PAIRS_SQL}),
@@ -89,7 +89,7 @@ def f04(t: Tables) -> DataFrame:
 @query("f05_char_ngrams", check=f"""SELECT item_id, array_to_string(list_sort({grams_sql('title')}), '|') AS grams FROM v_items""")
 def f05(t: Tables) -> DataFrame:
     return t.v_items.select(
-        "item_id", F.array_join(F.array_sort(text.char_ngrams(F.col("title"))), "|").alias("grams"))
+        "item_id", F.array_join(F.sort_array(text.char_ngrams(F.col("title"))), "|").alias("grams"))
 
 
 @query("f06_ngram_similarity", check=f"""WITH p AS ({PAIRS_SQL}),
@@ -172,9 +172,9 @@ def names_sql(col: str, kind: str) -> str:
 @query("f14_dictionary_entities", check="SELECT item_id, " + ", ".join(
     f"array_to_string({names_sql(JOINED, k)}, '|') AS {k}" for k in entities.DICTIONARIES) + " FROM v_items")
 def f14(t: Tables) -> DataFrame:
-    low = F.concat_ws(" ", "title", "summary")
+    body = F.concat_ws(" ", "title", "summary")
     return t.v_items.select("item_id", *[
-        F.array_join(entities.known_names(low, words), "|").alias(kind)
+        F.array_join(entities.known_names(body, words), "|").alias(kind)
         for kind, words in entities.DICTIONARIES.items()])
 
 
@@ -324,7 +324,7 @@ def f25(t: Tables) -> DataFrame:
 def f26(t: Tables) -> DataFrame:
     made = features.item_features(t.v_items)
     return made.select(
-        "item_id", F.array_join(F.array_sort("features.title_tokens"), " ").alias("title_tokens"),
+        "item_id", F.array_join(F.sort_array("features.title_tokens"), " ").alias("title_tokens"),
         F.array_join("features.entities.company", "|").alias("companies"),
         F.array_join("features.entities.ai_model", "|").alias("ai_models"),
         "features.language", "features.content_type", "features.fingerprint",

@@ -22,7 +22,7 @@ def trim_crawls(log: DataFrame, max_pages: int = MAX_PAGES, max_items: int = MAX
     """
     log = log.filter(F.col("page_no") <= max_pages).withColumn("url_hash", url_hash(F.col("url")))
     pages = log.groupBy("crawl_id", "page_no").agg(
-        F.array_sort(F.collect_set("url_hash")).alias("hashes"),
+        F.sort_array(F.collect_set("url_hash")).alias("hashes"),
         F.count_if("kept").alias("n_kept"))
     by_page = W.partitionBy("crawl_id").orderBy("page_no")
     repeated = F.coalesce(F.lag("hashes").over(by_page) == F.col("hashes"), F.lit(False))
