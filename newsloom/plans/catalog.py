@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import cluster_plans, monitor_plans, recommend_plans, source_plans, text_plans, thread_plans  # noqa: F401
+from newsloom.plans import cluster_plans, monitor_plans, recommend_plans, source_plans, stream_plans, text_plans, thread_plans  # noqa: F401
 from newsloom.plans.registry import CHECKS, QUERIES, runnable
 
 
