@@ -10,12 +10,17 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.session import spread
+
 AS_OF = "2024-01-31 00:00:00"
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables with long texts, and the key to spread a small scan by.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
 VIEWS: dict[str, str] = {
     "v_tasks": """
 SELECT source AS task_id, 'Source ' || source AS name,
@@ -131,7 +136,8 @@ class Tables:
             if name in VIEWS:
                 self._cache[name] = self.sql(VIEWS[name])
             else:
-                self._cache[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._cache[name] = spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table
         return self._cache[name]
 
     def sql(self, text: str) -> DataFrame:

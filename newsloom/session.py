@@ -48,3 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from the files."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over the cores when a scan yields fewer partitions than there are cores.
+
+    Text work after a scan of one small file would otherwise run on one core. Large scans
+    already have enough partitions and come back unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
