@@ -1,9 +1,11 @@
 """Running aggregates that never need a whole key in one task.
 
-A key may hold a third of all rows, so `PARTITION BY key` windows are avoided for
-unbounded groups. Rows are windowed inside (key, bucket), one summary row per bucket is
-accumulated over the buckets of the key, and both parts are added up. The bucket must be
-a non-decreasing function of the first order column, such as its hour.
+A key may hold a third of all rows, so `PARTITION BY key` windows are avoided for unbounded
+groups. Rows are windowed inside (key, bucket), one summary row per bucket is accumulated over
+the buckets of the key, and both parts are put together.
+
+The bucket is normally the hour or day of the row. Where one (key, hour) is itself too large,
+the rows are range-partitioned by key and order instead, which splits any group evenly.
 """
 
 from __future__ import annotations
@@ -14,6 +16,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.session import cut_lineage
+
+# Rows one window group may hold before the bucket is replaced by range partitions.
+GROUP_ROWS = 2_000_000
+
+_AGG = {"sum": F.sum, "max": F.max}
+
+
+def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with `_bucket` = number of their range partition by key and order.
+
+    Written before use: every reader must see the same partition numbers.
+    """
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id()))
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+    """Rows with a `_bucket` that no group overfills. Counts groups first, so pass narrow, stored rows."""
+    marked = df.withColumn("_bucket", bucket)
+    sizes = marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("n"))
+    return marked if sizes.filter(F.col("n") > GROUP_ROWS).isEmpty() else by_range(df, keys, order)
+
 
 def running(
     df: DataFrame,
@@ -25,18 +49,25 @@ def running(
 ) -> DataFrame:
     """Add one running `sum` (NULL as 0) or `max` column per entry of `values`.
 
-    With `inclusive=False` the current row is left out.
+    `bucket` must not decrease along `order`. With `inclusive=False` the current row is left
+    out. The bucket summaries are stored, as they also tell whether a bucket is overfull.
     """
-    marked = df.withColumn("_bucket", bucket)
     group = [*keys, "_bucket"]
+
+    def summarise(rows: DataFrame) -> DataFrame:
+        return cut_lineage(rows.groupBy(*group).agg(
+            F.count("*").alias("_rows"), *[_AGG[kind](col).alias(name) for name, (kind, col) in values.items()]))
+
+    marked = df.withColumn("_bucket", bucket)
+    totals = summarise(marked)
+    if not totals.filter(F.col("_rows") > GROUP_ROWS).isEmpty():
+        marked = by_range(df, keys, order)
+        totals = summarise(marked)
     inside = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    agg = {"sum": F.sum, "max": F.max}
-
-    totals = marked.groupBy(*group).agg(*[agg[kind](col).alias(name) for name, (kind, col) in values.items()])
-    before = totals.select(*group, *[agg[kind](name).over(earlier).alias(f"_before_{name}")
+    before = totals.select(*group, *[_AGG[kind](name).over(earlier).alias(f"_before_{name}")
                                      for name, (kind, _) in values.items()])
-    local = marked.withColumns({name: agg[kind](col).over(inside) for name, (kind, col) in values.items()})
+    local = marked.withColumns({name: _AGG[kind](col).over(inside) for name, (kind, col) in values.items()})
     joined = local.join(before, group)
     combined = {
         name: (F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))) if kind == "sum"
@@ -49,9 +80,17 @@ def running(
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                    value: str, name: str) -> DataFrame:
     """Add the value of the preceding row of the same key (NULL for the first)."""
-    marked = df.withColumn("_bucket", bucket)
     group = [*keys, "_bucket"]
-    last = marked.groupBy(*group).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+
+    def summarise(rows: DataFrame) -> DataFrame:
+        return cut_lineage(rows.groupBy(*group).agg(
+            F.count("*").alias("_rows"), F.max_by(F.struct(value), F.struct(*order)).alias("_last")))
+
+    marked = df.withColumn("_bucket", bucket)
+    last = summarise(marked)
+    if not last.filter(F.col("_rows") > GROUP_ROWS).isEmpty():
+        marked = by_range(df, keys, order)
+        last = summarise(marked)
     carried = last.select(*group, F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
     local = marked.withColumn("_prev", F.lag(F.struct(value)).over(W.partitionBy(*group).orderBy(*order)))
     return local.join(carried, group).withColumn(

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import windows
 from newsloom.operators import evaluate, ledger, monitor, recommend, search
 from newsloom.streaming import affinity, monitor as live
 from newsloom.streaming.tables import AppendTable, StateTable
@@ -57,7 +58,9 @@ def plain_fold(values):
     return s
 
 
-def test_affinity_fold_and_stream_parts(spark):
+@pytest.mark.parametrize("group_rows", [2_000_000, 3])
+def test_affinity_fold_and_stream_parts(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(windows, "GROUP_ROWS", group_rows)
     rows = [(i * 17, 0.01 * (i % 11)) for i in range(40)]
     whole = recommend.fold_affinity(deltas(spark, rows), ["user_id"]).first()
     assert whole["affinity_score"] == pytest.approx(plain_fold([d for _, d in rows])) and whole["interaction_count"] == 40
@@ -93,8 +96,10 @@ def plain_streak(text):
     return fails, empties, error
 
 
-@pytest.mark.parametrize("text", ["sff", "ffef", "effe", "fffs", "see", "seffe", "fefefff"])
-def test_streaks_batch_and_stream(spark, text):
+@pytest.mark.parametrize("group_rows", [2_000_000, 1])
+@pytest.mark.parametrize("text", ["ffef", "fffs", "seffe", "fefefff"])
+def test_streaks_batch_and_stream(spark, monkeypatch, text, group_rows):
+    monkeypatch.setattr(windows, "GROUP_ROWS", group_rows)
     tasks = spark.createDataFrame([("t", "active")], "task_id string, status string")
     want = plain_streak(text)
     r = monitor.streaks(runs(spark, text), tasks).first()

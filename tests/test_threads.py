@@ -176,9 +176,12 @@ def test_prefilter_and_decision(spark):
     assert none["action"] == "create" and none["related_thread_id"] is None
 
 
-def test_running_equals_plain_window(spark):
+@pytest.mark.parametrize("group_rows", [2_000_000, 20])
+def test_running_equals_plain_window(spark, monkeypatch, group_rows):
+    """Time buckets, and range partitions where a bucket is overfull."""
+    monkeypatch.setattr(windows, "GROUP_ROWS", group_rows)
     rng = random.Random(1)
-    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randint(0, 3)}", NOW + timedelta(minutes=rng.randint(0, 5000)), i, rng.randint(0, 9)) for i in range(800)]
+    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randint(0, 3)}", NOW + timedelta(minutes=rng.choice([0, 0, 1]) * rng.randint(0, 5000)), i, rng.randint(0, 9)) for i in range(800)]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int, v int")
     got = windows.running(df, ["k"], ["ts", "id"], windows.hour("ts"), {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))})
     df.createOrReplaceTempView("running_rows")
