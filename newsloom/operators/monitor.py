@@ -206,7 +206,8 @@ def validate_batches(crawls: DataFrame, items: DataFrame, required: Sequence[str
     parsed = transport & (F.col("items_found") > 0)
     coverage = F.when(parsed, F.col("_present") / (F.col("items_found") * len(required))).otherwise(0.0)
     enough, covered = F.col("items_found") >= min_items, coverage >= min_coverage
-    percent = F.format_string("Field coverage (%.1f%%) < minimum (%.1f%%)", coverage * 100, F.lit(min_coverage * 100))
+    # Halves round to even in the message, as in common percent formatting.
+    percent = F.format_string("Field coverage (%.1f%%) < minimum (%.1f%%)", F.bround(coverage * 100, 1), F.lit(min_coverage * 100))
     few = F.format_string("Items found (%d) < expected minimum (%d)", F.col("items_found"), F.lit(min_items))
     return rows.select(
         "crawl_id", "http_status", F.when(transport, F.col("items_found")).otherwise(0).alias("items_found"),

@@ -186,3 +186,10 @@ def test_times(one):
 def test_strip_tags(one):
     assert one(text.strip_tags(C("h")), h=" <p>a <b>b</b></p>\n") == "a b"
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def test_own_dictionary(spark):
+    from newsloom.operators.features import item_features
+    df = spark.createDataFrame([("Acme buys Initech", None)], "title string, summary string")
+    f = item_features(df, match="word", dictionaries={"company": ["acme", "buy"]}).first()["features"]
+    assert f["entities"]["company"] == ["acme"] and f["title_tokens"] == ["acme", "buys", "initech"]

@@ -190,3 +190,16 @@ def test_running_equals_plain_window(spark, monkeypatch, group_rows):
     assert {tuple(r) for r in got.select("id", "s", "m").collect()} == {(r["id"], r["s"], r["m"]) for r in want.collect()}
     prev = windows.previous_value(df, ["k"], ["ts", "id"], windows.hour("ts"), "v", "p")
     assert {tuple(r) for r in prev.select("id", "p").collect()} == {(r["id"], r["p"]) for r in want.collect()}
+
+
+def test_embedding_semantics(spark):
+    cols = "item_id int, task_id string, title string, summary string, fetched_at timestamp_ntz, vec array<float>"
+    df = spark.createDataFrame([(1, "a", "red fox jumps high", "", at(3), [1.0, 0.0]), (2, "b", "red fox sleeps", "", at(2), [0.0, 1.0])], cols)
+    threads = df.filter("item_id = 1").select(
+        F.lit("t").alias("thread_id"), "title", F.array("task_id").alias("platforms"), F.col("fetched_at").alias("first_seen_at"),
+        F.col("fetched_at").alias("last_seen_at"), "vec")
+    scored = matching.scored_candidates(df, threads, semantic="embedding", embedding="vec")
+    got = {r["item_id"]: r["scored"][0]["score"] for r in scored.collect()}
+    assert got[1]["semantic"] == 1.0 and got[2]["semantic"] == 0.0
+    rows, _ = clustering.cluster(df, semantic="embedding", embedding="vec", threshold=0.9)
+    assert len(clusters(rows)) == 2
