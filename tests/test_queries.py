@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from newsloom.plans.catalog import all_checks, all_queries
 from tests.compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, CHECKS = contract.queries(), contract.oracle_sql()
+QUERIES, CHECKS = all_queries(), all_checks()
 # Queries that are rows-only by design.
 UNCHECKED = {"f15_repository_entities", "s05_html_selected_items", "s06_page_structure"}
 
@@ -20,6 +21,7 @@ def con():
 
 def test_contract():
     assert set(CHECKS) == set(QUERIES) - UNCHECKED
+    assert set(QUERIES) <= set(contract.queries()) and set(CHECKS) <= set(contract.oracle_sql())
     assert len(QUERIES) > 140
 
 
