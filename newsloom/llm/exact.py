@@ -122,8 +122,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     a group. Rows that repeat key and text count in group_size and come out once, kept if their
     key stays. A row without key is in no group and stays. Other columns are not read.
     """
-    whole = text_of = common.text_of(text)
-    bare = without_blanks(text_of)
+    whole = common.text_of(text)
+    bare = without_blanks(whole)
     prints = common.written(docs.select(
         F.col(key), F.char_length(whole).alias("n"), F.xxhash64(bare).alias("fp"),
         F.sha2(bare, 256).alias("text_sha256")), "prints")

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact
+from newsloom.llm import exact, minhash, substring
 from newsloom.llm.common import table
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.repeated_words(table(spark, folder, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
@@ -25,7 +29,13 @@ SELECT doc_id,
 FROM t WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)
 """
 
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_groups(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 CHECKS: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
