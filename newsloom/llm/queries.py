@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact, minhash, substring
-from newsloom.llm.common import table
+from newsloom.llm import decontaminate, exact, minhash, packing, substring, token_counts, toxicity
+from newsloom.llm.common import new_folder, table
+
+# The vocabulary files stay where they are installed.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+
+
+def op1_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), WORD_TOKENIZER, END_ID)
+    return pieces.drop("ids")
 
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,13 +40,30 @@ SELECT doc_id,
 FROM t WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)
 """
 
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), BYTE_TOKENIZER, new_folder(spark, "token-cache"))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_groups(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixture_packing": op1_mixture_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 CHECKS: dict[str, str] = {"op3_exact_dedup": OP3_SQL}

@@ -7,7 +7,7 @@ no dictionary. Whether a symbol forms depends on its neighbours only; the words
 are tracked. Equal word sequences therefore hold the same symbols wherever those depend on words
 inside the sequence alone. Each window's witness is its leftmost such symbol of the highest
 round that has one, so equal windows have equal witnesses, at most one for several words. Spark
-finds the witnesses that occur more than once; only windows around those are compared, by 128-bit
+finds the witnesses that occur more than once; only windows around those are compared, by 96-bit
 digests of all their words.
 """
 
@@ -155,7 +155,7 @@ def window_rows(docs: DataFrame, size: int) -> DataFrame:
 
     Within a batch only a window's first occurrence is left to compare; later ones are known.
     """
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k", pa.int64()), ("start", pa.int64()),
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("k", pa.int64()), ("start", pa.int64()),
                         ("known", pa.bool_())])
 
     def make(batch: pa.RecordBatch) -> dict | None:
@@ -176,7 +176,7 @@ def window_rows(docs: DataFrame, size: int) -> DataFrame:
                 mark[low:high] = np.isin(names[low:high].view(np.int64), wanted[offsets[i]:offsets[i + 1]])
         at, text_of = at[mark], text_of[mark]
         h1 = windows_hash(found.hashes, size, 0x5851F42D4C957F2D)[at].view(np.int64)
-        h2 = windows_hash(found.hashes, size, 0x14057B7EF767814F)[at].view(np.int64)
+        h2 = (windows_hash(found.hashes, size, 0x14057B7EF767814F)[at] >> U(32)).astype(np.uint32).view(np.int32)
         start = at - found.first[text_of]
         order = np.lexsort((start, keys[text_of], h2, h1))
         h1, h2, k, start = h1[order], h2[order], keys[text_of][order], start[order]
@@ -184,7 +184,7 @@ def window_rows(docs: DataFrame, size: int) -> DataFrame:
         return {"h1": h1, "h2": h2, "k": k, "start": start, "known": known}
 
     return docs.mapInArrow(lambda rows: common.batches(rows, schema, make),
-                           "h1 long, h2 long, k long, start long, known boolean")
+                           "h1 long, h2 int, k long, start long, known boolean")
 
 
 def without_windows(docs: DataFrame, size: int) -> DataFrame:
@@ -227,22 +227,20 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     owned = docs.filter(F.col(key).isNotNull())
     lead = base.filter(F.col("n_words") >= size).groupBy("sha").agg(F.min("k").alias("lead"))
     names = witness_rows(owned, key, text, size)
-    beside = W.partitionBy("name").orderBy("digest")
-    asked = names.filter("NOT known").withColumns(
-        {"prev": F.lag("digest").over(beside), "next": F.lead("digest").over(beside)})
-    found = asked.filter("prev <> digest OR next <> digest").select("name", "digest")
-    repeated = common.written(found.union(names.filter("known").select("name", "digest")), "names")
+    # Rows known to be repeated only pass through: they are dealt out one by one, not by name.
+    beside = W.partitionBy("name", F.when(F.col("known"), F.col("digest"))).orderBy("digest")
+    asked = names.withColumns({"prev": F.lag("digest").over(beside), "next": F.lead("digest").over(beside)})
+    found = asked.filter("known OR prev <> digest OR next <> digest").select("name", "digest")
+    repeated = common.written(found, "names")
     per_text = repeated.groupBy("digest").agg(F.collect_set("name").alias("names"))
     short = F.expr("cast(cast(conv(substring(sha, 1, 16), 16, 10) as decimal(20, 0)) - 9223372036854775808 as long)")
     suspects = lead.withColumn("digest", short).join(per_text, "digest").select(F.col("lead").alias("k"), "names")
     texts = owned.select(F.col(key).cast("long").alias("k"), common.text_of(text).alias("t"))
-    candidates = common.written(texts.join(suspects.hint("merge"), "k").select("k", "t", "names"), "candidates")
-    windows = window_rows(candidates, size)
-    first = W.partitionBy("h1", "h2").orderBy("k", "start")
-    later = (windows.filter("NOT known").withColumn("prev", F.lag("k").over(first)).filter("prev IS NOT NULL")
-             .select("k", "start").union(windows.filter("known").select("k", "start")))
-    starts = later.groupBy("k").agg(F.collect_list("start").alias("starts"))
-    cut = without_windows(candidates.select("k", "t").join(starts.hint("merge"), "k").select("k", "t", "starts"), size)
+    windows = window_rows(texts.join(suspects.hint("merge"), "k").select("k", "t", "names"), size)
+    first = W.partitionBy("h1", "h2", F.when(F.col("known"), F.struct("k", "start"))).orderBy("k", "start")
+    later = windows.withColumn("prev", F.lag("k").over(first)).filter("known OR prev IS NOT NULL")
+    starts = common.written(later.groupBy("k").agg(F.collect_list("start").alias("starts")), "starts")
+    cut = without_windows(texts.join(starts.hint("merge"), "k").select("k", "t", "starts"), size)
     joined = (base.join(lead, "sha", "left").withColumnRenamed("sha", "all_sha")
               .join(cut.select("k", "n_removed", "sha"), "k", "left"))
     copy = F.coalesce(F.col("k") > F.col("lead"), F.lit(False))

@@ -22,6 +22,9 @@ _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(c) for c in ".!?,;:\"'()[]{}*_-"]] = True
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
@@ -72,8 +75,11 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) ->
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def words(column: pa.Array, fold: bool = False) -> Words:
-    """Words of every text of a string column; `fold` takes A-Z as a-z. A null text has none."""
+def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
+    """Words of every text of a string column; `fold` takes A-Z as a-z. A null text has none.
+
+    With `trim`, hashes are those of the words without up to three marks at each end.
+    """
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -97,7 +103,34 @@ def words(column: pa.Array, fold: bool = False) -> Words:
         low = starts[at]
         hashes[at:to] = _hash(data[low: ends[to - 1]], starts[at:to] - low, ends[at:to] - low, fold)
         at = to
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+    found = Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+    if trim:
+        _trim(found, fold)
+    return found
+
+
+def _trim(found: Words, fold: bool) -> None:
+    starts, ends = found.starts.copy(), found.ends.copy()
+    for _ in range(3 if len(starts) else 0):
+        starts += (starts < ends - 1) & _MARKS[found.data[starts]]
+        ends -= (starts < ends - 1) & _MARKS[found.data[ends - 1]]
+    changed = np.flatnonzero((starts != found.starts) | (ends != found.ends))
+    if len(changed):
+        lengths = ends[changed] - starts[changed]
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        at = np.repeat(starts[changed] - offsets[:-1], lengths) + np.arange(offsets[-1])
+        inner = words(pa.LargeStringArray.from_buffers(
+            len(changed), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(found.data[at])), fold)
+        found.hashes[changed] = inner.hashes
+
+
+def prefix_hashes(found: Words, size: int, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word longer than `size` bytes, hash of its first `size` bytes)."""
+    at = np.flatnonzero(found.ends - found.starts > size)
+    out = np.full(len(at), U(size))
+    for j in range(size):
+        out = out * _BASE + _bytes(fold)[found.data[found.starts[at] + j]]
+    return at, mix(out)
 
 
 def windows_hash(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
