@@ -28,11 +28,11 @@ SAMPLE_CHARS = 8_000
 @dataclass(frozen=True)
 class Training:
     bits: int = 18        # features are hashed into 2**bits weights
-    prefixes: tuple[int, ...] = (4, 5, 6)  # bytes of word beginnings
+    prefixes: tuple[int, ...] = (4, 5)  # bytes of word beginnings
     epochs: int = 100
     rate: float = 1.0
     least_documents: int = 5  # of the sample that a feature must be in
-    decay: float = 5e-5   # pull of weights towards zero
+    decay: float = 1e-4   # pull of weights towards zero
     prior: float = -5.0   # log-odds of a sentence without known words
     per_label: int = SAMPLE_PER_LABEL
     chars: int = SAMPLE_CHARS
