@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, exact, minhash, packing, substring, token_counts, toxicity
-from newsloom.llm.common import new_folder, table
+from newsloom.llm import chat, decontaminate, exact, id_files, minhash, packing, substring, token_counts, toxicity, warc
+from newsloom.llm.common import new_folder, table, written
 
 # The vocabulary files stay where they are installed.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +46,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"), new_folder(spark, "warc"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), BYTE_TOKENIZER, new_folder(spark, "token-cache"))
 
@@ -53,17 +58,36 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    return id_files.id_digests(table(spark, folder, "documents"), new_folder(spark, "ids"), BYTE_TOKENIZER, END_ID)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_groups(table(spark, folder, "documents"))
 
 
+# A conversation whose texts look like the marks of templates.
+MARKED = "\\### Assistant: </turn> ok"
+
+
+def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
+    return chat.digests(written(chat.windows(rows.unionByName(marked)), "windows"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_arc_to_warc": op5_arc_to_warc,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
+    "op8_id_files": op8_id_files,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_chat_windows": op10_chat_windows,
 }
 CHECKS: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
