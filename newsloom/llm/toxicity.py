@@ -8,6 +8,7 @@ proportion to what it contributes, which also locates the offending ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,6 +173,12 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, how: Training = Training(),
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, how: Training = Training(), key: str = "doc_id",
                text: str = "text") -> DataFrame:
-    """Documents not predicted toxic, with all their columns; one scored toxic goes with all rows of its key."""
-    toxic = toxic_scores(docs, labels, how, key, text).filter("predicted = 1").select(F.col(key).alias("_k")).distinct()
-    return docs.join(toxic, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    """Rows of `docs` not predicted toxic, with all their columns; each row is judged by itself, in place."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights_of(train(docs, labels, how, key, text), how))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            whole, _ = score(batch.column(batch.num_columns - 1), sent.value, how)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(whole < 0.5))
+
+    return docs.select(*docs.columns, common.text_of(text)).mapInArrow(run, docs.schema)
