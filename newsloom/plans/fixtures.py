@@ -37,8 +37,8 @@ SELECT d.doc_id AS item_id, d.source AS task_id,
  CASE WHEN d.doc_id % 4 = 0 THEN 'x' || CAST(d.doc_id % 50 AS STRING) END AS external_id,
  d.doc_id % 3 = 0 AS is_read, d.doc_id % 11 = 0 AS is_starred,
  e.ts AS fetched_at, e.ts AS created_at
-FROM documents d JOIN events e
- ON e.event_id = d.doc_id * CAST(floor((SELECT count(*) FROM events) / (SELECT count(*) FROM documents)) AS BIGINT)""",
+FROM (SELECT doc_id, source, text, doc_id * CAST(floor((SELECT count(*) FROM events) / (SELECT count(*) FROM documents)) AS BIGINT) AS at_event
+ FROM documents) d JOIN events e ON e.event_id = d.at_event""",
     "v_interactions": """
 SELECT event_id AS interaction_id, user_id,
  (event_id * 7) % (SELECT count(*) FROM documents) AS item_id,

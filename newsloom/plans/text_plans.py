@@ -49,7 +49,7 @@ def rules_sql(col: str, rules, default: str) -> str:
     return "CASE " + " ".join(f"WHEN {contains_sql(col, ns)} THEN '{lab}'" for lab, ns in rules) + f" ELSE '{default}' END"
 
 
-# Title pairs: an item against the next item of the same source.
+# Title pairs: an item against the item of the next id.
 PAIRS_SQL = """SELECT a.item_id AS item_a, b.item_id AS item_b, a.title AS title_a, b.title AS title_b,
  a.summary AS summary_a, b.summary AS summary_b, a.fetched_at AS ts_a, b.fetched_at AS ts_b, a.task_id AS task_a, b.task_id AS task_b
 FROM v_items a JOIN v_items b ON b.item_id = a.item_id + 1"""
@@ -70,16 +70,16 @@ def f02(t: Tables) -> DataFrame:
         "doc_id", F.array_join(F.sort_array(text.tokenize(F.col("text"))), " ").alias("tokens"))
 
 
-@query("f03_title_jaccard", check=f"""WITH p AS ({PAIRS_SQL}),
- k AS (SELECT item_a, item_b, {token_set_sql('title_a')} AS ta, {token_set_sql('title_b')} AS tb FROM p)
+@query("f03_title_jaccard", check=f"""WITH p AS MATERIALIZED ({PAIRS_SQL}),
+ k AS MATERIALIZED (SELECT item_a, item_b, {token_set_sql('title_a')} AS ta, {token_set_sql('title_b')} AS tb FROM p)
 SELECT item_a, item_b, round({jaccard_sql('ta', 'tb')}, 6) AS jaccard FROM k""")
 def f03(t: Tables) -> DataFrame:
     return title_pairs(t).select(
         "item_a", "item_b", F.round(text.title_jaccard(F.col("title_a"), F.col("title_b")), 6).alias("jaccard"))
 
 
-@query("f04_is_similar", check=f"""WITH p AS ({PAIRS_SQL}),
- k AS (SELECT item_a, item_b, {token_set_sql('title_a')} AS ta, {token_set_sql('title_b')} AS tb FROM p)
+@query("f04_is_similar", check=f"""WITH p AS MATERIALIZED ({PAIRS_SQL}),
+ k AS MATERIALIZED (SELECT item_a, item_b, {token_set_sql('title_a')} AS ta, {token_set_sql('title_b')} AS tb FROM p)
 SELECT item_a, item_b, {jaccard_sql('ta', 'tb')} >= 0.35 AS similar FROM k""")
 def f04(t: Tables) -> DataFrame:
     return title_pairs(t).select(
@@ -92,8 +92,8 @@ def f05(t: Tables) -> DataFrame:
         "item_id", F.array_join(F.sort_array(text.char_ngrams(F.col("title"))), "|").alias("grams"))
 
 
-@query("f06_ngram_similarity", check=f"""WITH p AS ({PAIRS_SQL}),
- k AS (SELECT item_a, item_b, {grams_sql('title_a')} AS ga, {grams_sql('title_b')} AS gb FROM p)
+@query("f06_ngram_similarity", check=f"""WITH p AS MATERIALIZED ({PAIRS_SQL}),
+ k AS MATERIALIZED (SELECT item_a, item_b, {grams_sql('title_a')} AS ga, {grams_sql('title_b')} AS gb FROM p)
 SELECT item_a, item_b, round({jaccard_sql('ga', 'gb')}, 6) AS similarity FROM k""")
 def f06(t: Tables) -> DataFrame:
     return title_pairs(t).select(
@@ -147,8 +147,8 @@ def f11(t: Tables) -> DataFrame:
 GAP_SQL = "abs(epoch_us(ts_a) - epoch_us(ts_b)) / 3600000000.0"
 
 
-@query("f12_temporal_score", check=f"""WITH p AS ({PAIRS_SQL}),
- k AS (SELECT item_a, item_b, {GAP_SQL} AS gap, {rules_sql("lower(title_a || ' ' || summary_a)", labels.EVENT_TYPES, 'default')} AS kind FROM p)
+@query("f12_temporal_score", check=f"""WITH p AS MATERIALIZED ({PAIRS_SQL}),
+ k AS MATERIALIZED (SELECT item_a, item_b, {GAP_SQL} AS gap, {rules_sql("lower(title_a || ' ' || summary_a)", labels.EVENT_TYPES, 'default')} AS kind FROM p)
 SELECT item_a, item_b, CASE WHEN gap <= 6 THEN 1.0 WHEN gap <= 24 THEN 0.8 WHEN gap <= 72 THEN 0.5 WHEN gap <= {WINDOW_SQL} THEN 0.3 ELSE 0.1 END::DOUBLE AS score FROM k""")
 def f12(t: Tables) -> DataFrame:
     kind = labels.event_type(F.col("title_a"), F.col("summary_a"))
@@ -220,8 +220,8 @@ def overlap_sql(a: str, b: str, kinds) -> str:
     return "(" + " + ".join(jaccard_sql(f"{a}_{k}", f"{b}_{k}") for k in kinds) + ") / 9"
 
 
-@query("f16_entity_overlap", check=f"""WITH p AS ({PAIRS_SQL}),
- k AS (SELECT item_a, item_b, """ + ", ".join(
+@query("f16_entity_overlap", check=f"""WITH p AS MATERIALIZED ({PAIRS_SQL}),
+ k AS MATERIALIZED (SELECT item_a, item_b, """ + ", ".join(
     f"{names_sql('lower(title_a || chr(32) || summary_a)', k)} AS a_{k}, {names_sql('lower(title_b || chr(32) || summary_b)', k)} AS b_{k}"
     for k in entities.DICTIONARIES) + f""" FROM p)
 SELECT item_a, item_b, round({overlap_sql('a', 'b', entities.DICTIONARIES)}, 6) AS overlap FROM k""")

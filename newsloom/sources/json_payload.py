@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from newsloom.functions.text import strip
+from newsloom.functions.text import let, strip
 from newsloom.functions.urls import link_path, prefixed_link
 
 # Length limits of parsed fields.
@@ -73,56 +69,75 @@ def json_items(
     return made.filter((F.col("title") != "") & F.col("url").isNotNull()).drop(body)
 
 
-def find_list_path(node, depth: int = 3) -> str | None:
-    """Dotted path of the first list of objects in key order, at most `depth` levels down."""
-    if isinstance(node, list):
-        return "" if node and isinstance(node[0], dict) else None
-    if depth > 0 and isinstance(node, dict):
-        for key, value in node.items():
-            if isinstance(value, list):
-                if value and isinstance(value[0], dict):
-                    return key
-            elif isinstance(value, dict):
-                below = find_list_path(value, depth - 1)
-                if below is not None:
-                    return f"{key}.{below}" if below else key
-    return None
+_LIST = "array<struct<path:array<string>,head:string>>"
+
+
+def _lists_below(node: Column, depth: int) -> Column:
+    """Lists of objects inside a JSON text in the order of its keys: path and text of the first element.
+
+    The text of a field keeps its key order, its variant tells strings from lists and objects.
+    """
+    texts = F.map_entries(F.from_json(node, "map<string,string>"))
+    values = F.map_values(F.from_json(node, "map<string,variant>"))
+    fields = F.zip_with(texts, values, lambda e, v: F.struct(e["key"].alias("key"), e["value"].alias("text"), v.alias("value")))
+    none = F.array().cast(_LIST)
+
+    def below(field: Column) -> Column:
+        own = F.array(F.struct(F.array(field["key"]).alias("path"), _first_element(field["text"]).alias("head"))).cast(_LIST)
+        case = F.when(_holds_objects(field["value"]), own)
+        if depth > 1:
+            inner = F.transform(_lists_below(field["text"], depth - 1), lambda found: F.struct(
+                F.concat(F.array(field["key"]), found["path"]).alias("path"), found["head"].alias("head"))).cast(_LIST)
+            case = case.when(F.try_variant_get(field["value"], "$", "map<string,variant>").isNotNull(), inner)
+        return case.otherwise(none)
+
+    return F.coalesce(F.flatten(F.transform(fields, below)), none)
+
+
+def _holds_objects(value: Column) -> Column:
+    return F.try_variant_get(value, "$[0]", "map<string,variant>").isNotNull()
 
 
-def _shape(body: str | None) -> tuple[str, str, str, str]:
-    try:
-        node = json.loads(body)
-    except (TypeError, ValueError):
-        return "", "title", "url", ""
-    path = find_list_path(node) or ""
-    for key in filter(None, path.split(".")):
-        node = node[key]
-    names: dict[str, str] = {}
-    if isinstance(node, list) and node and isinstance(node[0], dict):
-        names = {k.lower(): k for k in node[0]}
+def _first_element(text: Column) -> Column:
+    return F.get(F.from_json(text, "array<string>"), F.lit(0))
 
-    def pick(ranked, default):
-        return next((names[c] for c in ranked if c in names), default)
 
-    return path, pick(TITLE_FIELDS, "title"), pick(LINK_FIELDS, "url"), pick(SUMMARY_FIELDS, "")
+def _field_named(names: Column, ranked: tuple[str, ...], default: str) -> Column:
+    """The spelling of the first ranked name that is there, else the default."""
+    def spelled(wanted: str) -> Column:
+        return F.try_element_at(F.filter(names, lambda n: F.lower(n) == wanted), F.lit(-1))
 
+    return F.coalesce(*map(spelled, ranked), F.lit(default))
 
-_SHAPE = T.StructType([
-    T.StructField(n, T.StringType()) for n in ("list_path", "title_field", "link_field", "summary_field")])
 
+def payload_shape(body: Column, depth: int = 3) -> Column:
+    """(list_path, title_field, link_field, summary_field) of one payload.
+
+    The list is the first of objects in key order, at most `depth` levels down; a payload without
+    one, or an unreadable one, has the empty path and the default names.
+    """
+    doc = F.try_parse_json(body)
+    readable = F.when(doc.isNotNull(), body)
+    found = F.when(_holds_objects(doc), F.struct(F.array().cast("array<string>").alias("path"), _first_element(readable).alias("head"))
+                   ).otherwise(F.get(_lists_below(readable, depth), F.lit(0)))
+
+    def shape(found: Column) -> Column:
+        names = F.map_keys(F.from_json(found["head"], "map<string,string>"))
+        return F.struct(
+            F.coalesce(F.array_join(found["path"], "."), F.lit("")).alias("list_path"),
+            _field_named(names, TITLE_FIELDS, "title").alias("title_field"),
+            _field_named(names, LINK_FIELDS, "url").alias("link_field"),
+            _field_named(names, SUMMARY_FIELDS, "").alias("summary_field"))
 
-@F.pandas_udf(_SHAPE)
-def _shapes(bodies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_shape(b) for b in bodies], columns=_SHAPE.names)
+    return let(shape, found=found)
 
 
 def infer_shape(payloads: DataFrame, source: str, body: str = "body") -> DataFrame:
     """Most frequent list path and field names per source (ties: smallest).
 
-    Key order decides, which a parsed variant no longer knows, so bodies go through Arrow once;
-    counting is a partial aggregate.
+    Key order decides. Counting is a partial aggregate.
     """
-    shaped = payloads.select(source, _shapes(F.col(body)).alias("shape"))
+    shaped = payloads.select(source, payload_shape(F.col(body)).alias("shape"))
     counted = shaped.groupBy(source, "shape").agg(F.count("*").alias("payloads"))
     best = counted.groupBy(source).agg(
         F.min(F.struct((-F.col("payloads")).alias("rank"), F.col("shape"))).alias("best"),
