@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.session import shared_folder
 
 # Bounds of the batches that tasks hand to Python: rows and bytes, whichever comes first.
-BATCH_ROWS = 256
+BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 
 

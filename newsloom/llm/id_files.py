@@ -92,14 +92,14 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key
         name, out, at, ids_in_file = "", None, 0, 0
         for batch in batches:
             rows: dict[str, list] = {n: [] for n in schema.names[1:]}
-            for value in batch.column(1):
+            for coded in encoder(tokenizer).encode_all(batch.column(1)):
                 if out is None or at > FILE_BYTES:
                     if out is not None:
                         out.close()
                     name, out = files.create(folder, ".ids")
                     out.write(head)
                     at, ids_in_file = HEADER, 0
-                ids = _coded(value.as_py(), tokenizer, end_id)
+                ids = np.append(coded, np.uint32(end_id))
                 frame = press.compress(serialize(ids, width))
                 out.write(frame)
                 for column, cell in zip(rows, (name, ids_in_file, at, len(frame), len(ids)), strict=True):

@@ -59,25 +59,38 @@ class Mixture:
         rank = np.argsort(np.argsort(flat, axis=1, kind="stable"), axis=1)
         return low + (rank < missing[:, None]).reshape(leave.shape).sum(axis=2)
 
-    def block(self, at: int) -> np.ndarray:
-        """`taken` before windows at .. at + _BLOCK; the last few hundred blocks are kept."""
+    def block(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(`taken`, offset of each queue's tokens in its windows) of windows at .. at + _BLOCK, a row a queue.
+
+        The last few hundred blocks are kept.
+        """
         if at not in self._at:
             if len(self._at) >= _KEEP:
                 self._at.clear()
-            self._at[at] = self.taken(np.arange(at, at + _BLOCK + 1))
+            taken = np.ascontiguousarray(self.taken(np.arange(at, at + _BLOCK + 1)).T)
+            given = np.diff(taken, axis=1)
+            self._at[at] = taken, np.cumsum(given, axis=0) - given
         return self._at[at]
 
-    def blocks(self, queue: int, start: int, length: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(first window, `taken`) of the blocks that hold tokens start .. start + length - 1."""
+    def pieces(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """(window, offset in it, first and last + 1 of the tokens) over tokens start .. start + length - 1 of a queue."""
         guess = int(np.interp((start + 0.5) / self.rates[queue], self.times, self.served)) // self.window
         at = guess - guess % _BLOCK
-        while at > 0 and self.block(at)[0, queue] > start:
+        while at > 0 and self.block(at)[0][queue, 0] > start:
             at -= _BLOCK
-        while at + _BLOCK < self.windows and self.block(at)[-1, queue] <= start:
+        while at + _BLOCK < self.windows and self.block(at)[0][queue, -1] <= start:
             at += _BLOCK
         while True:
-            yield at, self.block(at)
-            if at + _BLOCK >= self.windows or self.block(at)[-1, queue] >= start + length:
+            taken, offsets = self.block(at)
+            own = taken[queue]
+            low = max(int(np.searchsorted(own, start, "right")) - 1, 0)
+            high = min(int(np.searchsorted(own, start + length, "left")), _BLOCK)
+            bounds, before = own[low:high + 1].tolist(), offsets[queue, low:high].tolist()
+            for j, offset in enumerate(before):
+                a, b = max(bounds[j], start), min(bounds[j + 1], start + length)
+                if a < b:
+                    yield at + low + j, offset + a - bounds[j], a - start, b - start
+            if at + _BLOCK >= self.windows or own[-1] >= start + length:
                 return
             at += _BLOCK
 
@@ -94,8 +107,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, s
 
         def make(batch: pa.RecordBatch) -> dict:
             sources, local, n, ids = batch.column(1).to_pylist(), [], [], []
-            for name, value in zip(sources, batch.column(2), strict=True):
-                one = np.append(code.encode(value.as_py()), np.uint32(end_id)).astype(kind)
+            for name, coded in zip(sources, code.encode_all(batch.column(2)), strict=True):
+                one = np.append(coded, np.uint32(end_id)).astype(kind)
                 local.append(so_far.get(name, 0))
                 n.append(len(one))
                 ids.append(one.tobytes())
@@ -122,8 +135,9 @@ def _queues(rows: DataFrame) -> tuple[DataFrame, list]:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
          shares: Mapping[str, float] | None = None, key: str = "doc_id", text: str = "text",
-         source: str = "source") -> DataFrame:
-    """Pieces of the documents' ids: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
+         source: str = "source", with_ids: bool = True) -> DataFrame:
+    """Pieces of the documents' ids: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, source
+    and, unless left out, the ids.
 
     A document's ids are those of its whole text and `end_id`; a null text is empty and a null
     source the source ''. `shares` are target proportions (sources not named get none until the
@@ -139,34 +153,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     wide = 2 if max(encoder(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else 4
     schema = pa.schema([("k", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                         ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
-                        ("source", pa.string()), ("ids", pa.binary())])
+                        ("source", pa.string()), *([("ids", pa.binary())] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = Mixture(sizes, rates, window)
 
         def make(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {name: [] for name in schema.names}
+            columns = list(out.values())
             keys, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             places, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for k, name, place, n, ids in zip(keys, sources, places, counts, batch.column(4), strict=True):
-                queue, raw = number[name], ids.as_buffer()
-                for first, bounds in mixture.blocks(queue, place, n):
-                    own = bounds[:, queue]
-                    low = np.clip(own[:-1] - place, 0, n)
-                    high = np.clip(own[1:] - place, 0, n)
-                    before = (bounds[1:, :queue] - bounds[:-1, :queue]).sum(axis=1)
-                    for j in np.flatnonzero(high > low):
-                        a, b = int(low[j]), int(high[j])
-                        piece = np.frombuffer(raw, f"<u{wide}", b - a, a * wide).astype("<u4").tobytes()
-                        out["k"].append(k)
-                        out["start"].append(a)
-                        out["length"].append(b - a)
-                        out["ids_crc32"].append(zlib.crc32(piece))
-                        out["doc_tokens"].append(n)
-                        out["sequence_id"].append(first + int(j))
-                        out["offset"].append(int(before[j]) + place + a - int(own[j]))
-                        out["source"].append(name)
-                        out["ids"].append(piece)
+                raw = np.frombuffer(ids.as_buffer(), f"<u{wide}").astype("<u4").tobytes()
+                for window_, offset, a, b in mixture.pieces(number[name], place, n):
+                    piece = raw[4 * a:4 * b]
+                    values = (k, a, b - a, zlib.crc32(piece), n, window_, offset, name, piece)
+                    for column, value in zip(columns, values, strict=False):
+                        column.append(value)
             return out
 
         yield from common.batches(batches, schema, make)
@@ -174,5 +177,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     placed = rows.join(starts, ["source", "part"]).select(
         "k", "source", (F.col("base") + F.col("local")).alias("place"), "n", "ids")
     out = placed.mapInArrow(run, "k long, start long, length long, ids_crc32 long, doc_tokens long, "
-                                 "sequence_id long, offset long, source string, ids binary")
+                                 "sequence_id long, offset long, source string" + ", ids binary" * with_ids)
     return out.withColumnRenamed("k", key)

@@ -18,8 +18,7 @@ END_ID = 2
 
 
 def op1_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.pack(table(spark, folder, "documents"), WORD_TOKENIZER, END_ID)
-    return pieces.drop("ids")
+    return packing.pack(table(spark, folder, "documents"), WORD_TOKENIZER, END_ID, with_ids=False)
 
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,9 +38,7 @@ def encode_misses(texts: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("content", pa.string()), ("n_tokens", pa.int64())])
 
     def make(batch: pa.RecordBatch) -> dict:
-        count = encoder(path).count
-        return {"content": batch.column(0),
-                "n_tokens": pa.array([count(t.as_py()) for t in batch.column(1)], pa.int64())}
+        return {"content": batch.column(0), "n_tokens": encoder(path).count_all(batch.column(1))}
 
     return texts.mapInArrow(lambda rows: common.batches(rows, schema, make), "content string, n_tokens long")
 

@@ -1,31 +1,43 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of pieces.
 
-Both pre-tokenizers cut a text into pieces whose ids do not depend on what stands around them:
-the word vocabulary never joins across blanks, the byte vocabulary cuts by one pattern. Each
-distinct piece goes to the library once per worker and cache filling; texts for which the cut is
-not certain (added tokens, scripts beyond Latin) go to the library whole.
+Both pre-tokenizers cut a text by one pattern into pieces whose ids do not depend on what stands
+around them. Each distinct piece goes to the library once per worker and cache filling; texts for
+which the cut is not certain (added tokens, scripts beyond Latin) go to the library whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import regex
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_PIECES = 300_000
+from newsloom.llm.words import flat_bytes, span_hashes
+
+CACHE_PIECES = 600_000
 _STEP = 1 << 16
 _LONG = 1 << 20
 
-# Fixed value: the pattern of the byte-level pre-tokenizer.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_BYTE_PIECE = regex.compile(BYTE_PATTERN)
-_BLANK_PIECE = regex.compile(r"[^\x20\x09-\x0D]+")
-_BEYOND_LATIN = regex.compile("[^\x09-\x0d\x20-\x7e\xa1-ɏ‐-‧‰-⁞₠-₿]")
+# The patterns of the two pre-tokenizers, for texts whose only letters are Latin and
+# whose only numerals are 0-9.
+_BYTE_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+_WORD_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_OTHER_TEXT = re.compile("[^\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+
+_NOT_PLAIN = "['\\x00-\\x08\\x0e-\\x1f\\x7f-\\x{bf}\\x{d7}\\x{f7}\\x{250}-\\x{10ffff}]"
+BATCH = 1024
+_BLANK, _LETTER, _DIGIT, _MARK = range(4)
+_KINDS = np.full(256, _MARK, np.uint8)
+_KINDS[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = _LETTER
+_KINDS[ord("0"):ord("9") + 1] = _DIGIT
 
 
 def file_digest(path: str) -> str:
@@ -49,33 +61,76 @@ class Encoder:
         self.added = [t["content"] for t in settings["added_tokens"]]
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.limit = cache_pieces
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.opens, self.closes = np.zeros(max(names.values()) + 1, bool), np.zeros(max(names.values()) + 1, bool)
+        for name, number in names.items():
+            self.opens[number], self.closes[number] = name.startswith("Ġ"), name.endswith("</w>")
+        self.line = names.get("Ċ", -1)
         self._empty()
 
     def _empty(self) -> None:
         self.place: dict[str, int] = {}
+        self.hashed: dict[int, int] = {}
         self.starts = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Remember pieces whose ids end at `ends`."""
+        at, n = len(self.place), len(pieces)
+        while at + n > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used:self.used + len(ids)] = ids
+        lengths = np.diff(ends, prepend=0)
+        self.starts[at:at + n] = self.used + ends - lengths
+        self.lengths[at:at + n] = lengths
+        self.used += len(ids)
+        self.place.update(zip(pieces, range(at, at + n), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
-        fresh = list(dict.fromkeys(p for p in pieces if p not in self.place))
-        for piece, coded in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True):
-            ids, at = coded.ids, len(self.place)
-            if at == len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * at), np.resize(self.lengths, 2 * at)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.starts[at], self.lengths[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[piece] = at
+        """Ids of new pieces, many in one call where marks in the ids tell them apart again."""
+        fresh = dict.fromkeys(p for p in pieces if p not in self.place)
+        if self.by_word:
+            together, alone, rest = [], [], list(fresh)
+        else:
+            together = [p for p in fresh if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+            rest = [p for p in fresh if not p[0].isspace()]
+            alone = [p for p in fresh if p[0].isspace() and (len(p) == 1 or p[1].isspace())]
+        if together:  # each starts with a blank, and so does its first id
+            ids = self._whole("".join(together))
+            first = np.flatnonzero(self.opens[ids])
+            self._fit(together, ids, np.append(first[1:], len(ids)), len(first))
+        if rest and self.by_word:  # each ends with an id that ends a word
+            ids = self._whole(" ".join(rest))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            self._fit(rest, ids, ends, len(ends))
+        elif rest:  # parted by line ends
+            ids = self._whole("\n".join(rest))
+            cut = ids == self.line
+            ends = np.cumsum(~cut)[np.append(np.flatnonzero(cut) - 1, len(ids) - 1)]
+            self._fit(rest, ids[~cut], ends, int(cut.sum()) + 1)
+        if alone:
+            self._one_by_one(alone)
+
+    def _fit(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray, found: int) -> None:
+        if found == len(pieces):
+            self._keep(pieces, ids, ends)
+        else:
+            self._one_by_one(pieces)
+
+    def _one_by_one(self, pieces: list[str]) -> None:
+        parts = [self._whole(p) for p in pieces]
+        self._keep(pieces, np.concatenate(parts), np.cumsum([len(x) for x in parts]))
 
     def _slices(self, text: str) -> Iterator[list[str]]:
-        pattern = _BYTE_PIECE if self.by_byte else _BLANK_PIECE
+        pattern = _BYTE_PIECE if self.by_byte else _WORD_PIECE
+        text = text if self.by_byte else text.lower()
         if len(text) < _LONG:
             yield pattern.findall(text)
             return
@@ -89,24 +144,109 @@ class Encoder:
                 self._empty()
             at = list(map(self.place.get, pieces))
             if None in at:
-                self._learn(pieces)
+                self._learn([p for p, place in zip(pieces, at, strict=True) if place is None])
                 at = list(map(self.place.get, pieces))
             yield np.array(at, np.int64)
 
     def _cut(self, text: str) -> bool:
         if not (self.by_byte or self.by_word) or any(t in text for t in self.added):
             return False
-        return text.isascii() or not _BEYOND_LATIN.search(text)
+        return not _OTHER_TEXT.search(text)
+
+    def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of all pieces of plain texts, in bytes."""
+        kind = _KINDS[data]
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:-1] = kind[1:] != kind[:-1]
+        begin[offsets] = True
+        begin = begin[:-1]
+        if self.by_word:
+            begin |= kind == _DIGIT
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(data))
+        blank = kind[starts] == _BLANK
+        if self.by_word:
+            return starts[~blank], ends[~blank]
+        # The last of several blanks before something parts from the others; a space joins what follows.
+        last = np.zeros(len(data) + 1, bool)
+        last[offsets] = True
+        before = blank & ~last[ends]
+        space = np.zeros(len(starts), bool)
+        space[before] = data[ends[before] - 1] == 0x20
+        follower = np.append(False, space[:-1])
+        starts = starts - follower
+        ends = ends - space
+        long = before & ~space & (ends - starts > 1)
+        cut = ends[long] - 1
+        ends[long] = cut
+        full = ends > starts
+        starts, ends = np.concatenate((starts[full], cut)), np.concatenate((ends[full], cut + 1))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each piece of all texts in the cache, number of pieces before each text) of plain texts."""
+        data, offsets = flat_bytes(texts)
+        starts, ends = self._spans(data, offsets)
+        back, hashes = pd.factorize(span_hashes(data, starts, ends))
+        first = np.zeros(len(hashes), np.int64)
+        first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
+        if len(self.place) > self.limit:
+            self._empty()
+        keys = hashes.tolist()
+        at = list(map(self.hashed.get, keys))
+        new = [i for i, place in enumerate(at) if place is None]
+        if new:
+            pieces = [data[starts[i]:ends[i]].tobytes().decode() for i in first[new].tolist()]
+            self._learn(pieces)
+            for i, piece in zip(new, pieces, strict=True):
+                at[i] = self.hashed[keys[i]] = self.place[piece]
+        return np.array(at, np.int64)[back] if keys else np.zeros(0, np.int64), np.searchsorted(starts, offsets)
+
+    def _gathered(self, at: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        index = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        return self.flat[index + np.arange(len(index))]
+
+    def _split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(numbers of the plain texts, numbers of the others, texts)."""
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        plain = pc.and_(pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN)), pc.less(pc.binary_length(texts), _LONG))
+        for mark in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, mark)))
+        good = plain.to_numpy(zero_copy_only=False).astype(bool) & (self.by_byte or self.by_word)
+        return np.flatnonzero(good), np.flatnonzero(~good), texts
+
+    def encode_all(self, column: pa.Array) -> list[np.ndarray]:
+        """`encode` of every text of a column; a null text is empty. Equal pieces are told by 64-bit hashes."""
+        good, rest, texts = self._split(column)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for some in (good[i:i + BATCH] for i in range(0, len(good), BATCH)):
+            at, first = self._plain(texts.take(some))
+            ids = self._gathered(at)
+            cut = np.append(0, np.cumsum(self.lengths[at]))[first]
+            for i, a, b in zip(some.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                out[i] = ids[a:b]
+        for i in rest.tolist():
+            out[i] = self.encode(texts[i].as_py())
+        return out
+
+    def count_all(self, column: pa.Array) -> np.ndarray:
+        """Number of ids of every text of a column."""
+        good, rest, texts = self._split(column)
+        out = np.zeros(len(texts), np.int64)
+        for some in (good[i:i + BATCH] for i in range(0, len(good), BATCH)):
+            at, first = self._plain(texts.take(some))
+            out[some] = np.diff(np.append(0, np.cumsum(self.lengths[at]))[first])
+        for i in rest.tolist():
+            out[i] = self.count(texts[i].as_py())
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not self._cut(text):
             return self._whole(text)
-        parts = []
-        for at in self._places(text):
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            index = np.repeat(self.starts[at] - (ends - lengths), lengths)
-            parts.append(self.flat[index + np.arange(len(index))])
+        parts = [self._gathered(at) for at in self._places(text)]
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
     def count(self, text: str) -> int:

@@ -75,11 +75,20 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) ->
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
-    """Words of every text of a string column; `fold` takes A-Z as a-z. A null text has none.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hash of each byte span; spans stand in order and do not overlap."""
+    hashes = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):  # slices of whole spans
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, "right")))
+        low = starts[at]
+        hashes[at:to] = _hash(data[low: ends[to - 1]], starts[at:to] - low, ends[at:to] - low, fold)
+        at = to
+    return hashes
 
-    With `trim`, hashes are those of the words without up to three marks at each end.
-    """
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, offsets) of a string column; a null text is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -87,7 +96,15 @@ def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
     offsets = np.frombuffer(raw[1], np.int64)[column.offset: column.offset + len(column) + 1].copy()
     low, high = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
     data = np.frombuffer(raw[2], np.uint8)[low:high] if high > low else np.zeros(0, np.uint8)
-    offsets -= low
+    return data, offsets - low
+
+
+def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
+    """Words of every text of a string column; `fold` takes A-Z as a-z. A null text has none.
+
+    With `trim`, hashes are those of the words without up to three marks at each end.
+    """
+    data, offsets = flat_bytes(column)
     space = _SPACE[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
@@ -96,13 +113,7 @@ def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
     after = np.concatenate((space[1:], [True])) if len(data) else space
     starts = np.flatnonzero(inside & (before | border[:-1]))
     ends = np.flatnonzero(inside & (after | border[1:])) + 1
-    hashes = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):  # slices of whole words
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, "right")))
-        low = starts[at]
-        hashes[at:to] = _hash(data[low: ends[to - 1]], starts[at:to] - low, ends[at:to] - low, fold)
-        at = to
+    hashes = span_hashes(data, starts, ends, fold)
     found = Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
     if trim:
         _trim(found, fold)

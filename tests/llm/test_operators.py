@@ -240,6 +240,21 @@ def test_encoder_equals_the_library(corpus, name):
     for _, text in rows:
         want = made.library.encode(text or "", add_special_tokens=False).ids
         assert made.encode(text or "").tolist() == want and made.count(text or "") == len(want)
+    texts = [t for _, t in rows]
+    want = [made.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in made.encode_all(pa.array(texts))] == want
+    assert made.count_all(pa.array(texts)).tolist() == [len(x) for x in want]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_on_random_texts(name):
+    draw = random.Random(11)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "B", "é", "Ö", "7", "42", ".", "_", "'", "'s", "’", "²", "ß", "foo", "Bar,", "×", "\r\n", "漢"]
+    made = tokens.Encoder(registered.public_tokenizers.path(name), cache_pieces=200)
+    texts = ["".join(draw.choice(parts[:draw.choice((13, 23))]) for _ in range(draw.randint(0, 40))) for _ in range(1500)]
+    want = [made.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in made.encode_all(pa.array(texts))] == want
+    assert [made.encode(t).tolist() for t in texts] == want
 
 
 @pytest.mark.parametrize("shares", [None, {"s0": 0.7, "s1": 0.3}])
