@@ -35,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in windows of 4096, every window with the corpus's mixture of sources."""
-    return packing.pack(docs, WORD_TOKENIZER, END_ID).drop("ids")
+    return packing.pack(docs, WORD_TOKENIZER, END_ID, with_ids=False)
 
 
 STAGES = [
