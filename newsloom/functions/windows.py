@@ -11,6 +11,8 @@ the rows are range-partitioned by key and order instead, which splits any group
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,6 +41,13 @@ def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
     return marked if sizes.filter(F.col("n") > GROUP_ROWS).isEmpty() else by_range(df, keys, order)
 
 
+def _join_same(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the summary of their group; a missing key or time is a value like any other."""
+    named = summary.select(*[F.col(k).alias(f"_same_{k}") if k in keys else F.col(k) for k in summary.columns])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return rows.join(named, same).drop(*[f"_same_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,7 +77,7 @@ def running(
     before = totals.select(*group, *[_AGG[kind](name).over(earlier).alias(f"_before_{name}")
                                      for name, (kind, _) in values.items()])
     local = marked.withColumns({name: _AGG[kind](col).over(inside) for name, (kind, col) in values.items()})
-    joined = local.join(before, group)
+    joined = _join_same(local, before, group)
     combined = {
         name: (F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))) if kind == "sum"
         else F.greatest(F.col(name), F.col(f"_before_{name}"))
@@ -93,7 +102,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], buc
         last = summarise(marked)
     carried = last.select(*group, F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
     local = marked.withColumn("_prev", F.lag(F.struct(value)).over(W.partitionBy(*group).orderBy(*order)))
-    return local.join(carried, group).withColumn(
+    return _join_same(local, carried, group).withColumn(
         name, F.coalesce("_prev", "_carried")[value]).drop("_bucket", "_prev", "_carried")
 
 

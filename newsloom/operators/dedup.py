@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import strip
 from newsloom.functions.urls import url_hash
+from newsloom.session import cut_lineage
 
 
 def content_hash(title: Column, summary: Column) -> Column:
@@ -55,22 +56,29 @@ def drop_known(batch: DataFrame, history: DataFrame) -> DataFrame:
     return _unseen(_unseen(fresh, history, ["url_hash"]), history, ["content_hash"])
 
 
-def _first_per(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """First arrival per key. The rank filter is also applied before the shuffle, so a hot
-    key sends one row per task."""
-    order = W.partitionBy(*keys).orderBy("created_at", "item_id")
-    return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == 1).drop("_rn")
-
-
 def unique_in_batch(batch: DataFrame) -> DataFrame:
-    """First row per URL hash, then first row per (task, external id); equal content is kept.
+    """Rows that row-by-row insertion would keep, by arrival (created_at, item_id).
 
-    Unlike row-by-row insertion, the URL pass ends before the external-id pass starts.
+    A row is kept if no kept row before it has its URL hash or its (task, external id); blank
+    hashes and ids are unique, equal content is kept. A row that fails takes neither of its keys,
+    so rows are settled in rounds: those that come first in both their groups are kept, those
+    that share a key with a kept one go, the rest is looked at again. Only keys take part; a hot
+    key sends one row per task.
     """
-    by_url = _first_per(batch, ["url_hash"])
-    stand_in = F.concat(F.lit("\u0000blank:"), F.col("item_id").cast("string"))
-    keyed = by_url.withColumn("_ext", F.when(_usable("external_id"), F.col("external_id")).otherwise(stand_in))
-    return _first_per(keyed, ["task_id", "_ext"]).drop("_ext")
+    blank = F.concat(F.lit("\u0000blank:"), F.col("item_id").cast("string"))
+    known = batch.select(
+        "item_id", F.struct("created_at", "item_id").alias("at"),
+        F.when(_usable("url_hash"), F.col("url_hash")).otherwise(blank).alias("u"),
+        F.concat_ws("\u0000", F.coalesce(F.col("task_id").cast("string"), F.lit("\u0000none")),
+                    F.when(_usable("external_id"), F.col("external_id")).otherwise(blank)).alias("e"))
+    open_rows, kept = cut_lineage(known), None
+    while not open_rows.isEmpty():
+        first_u = open_rows.groupBy("u").agg(F.min("at").alias("a")).select(F.col("a.item_id").alias("item_id"))
+        first_e = open_rows.groupBy("e").agg(F.min("at").alias("a")).select(F.col("a.item_id").alias("item_id"))
+        both = cut_lineage(open_rows.join(first_u.join(first_e, "item_id"), "item_id", "left_semi"))
+        kept = both.select("item_id") if kept is None else kept.union(both.select("item_id"))
+        open_rows = cut_lineage(open_rows.join(both.select("u"), "u", "left_anti").join(both.select("e"), "e", "left_anti"))
+    return batch.limit(0) if kept is None else batch.join(kept, "item_id", "left_semi")
 
 
 def dedup_accounting(batch: DataFrame, fresh: DataFrame, by: str = "task_id") -> DataFrame:

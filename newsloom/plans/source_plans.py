@@ -218,12 +218,37 @@ def d07(t: Tables) -> DataFrame:
     return dedup.drop_known(batch, history).select("item_id", "task_id", "url_hash", "content_hash")
 
 
-@query("d08_unique_in_batch", check=f"""WITH k AS (SELECT *, sha256(url) AS url_hash FROM v_items),
- u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY created_at, item_id) = 1),
- x AS (SELECT *, row_number() OVER (PARTITION BY task_id, external_id ORDER BY created_at, item_id) AS rn FROM u)
-SELECT item_id, task_id, external_id, url_hash FROM x WHERE external_id IS NULL OR rn = 1""")
+# Row by row in arrival order: a row is kept if no kept row has its URL or its external id.
+_TAKEN = "list_contains(r.us, k.u) OR coalesce(list_contains(r.es, k.e), false)"
+
+
+def inserted_sql(rows: str) -> str:
+    return f"""WITH RECURSIVE b AS ({rows}), k AS (SELECT item_id, task_id, external_id, sha256(url) AS u,
+ task_id || '|' || nullif(external_id, '') AS e, row_number() OVER (ORDER BY created_at, item_id) AS n FROM b),
+ r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS es, false AS kept UNION ALL
+  SELECT k.n, CASE WHEN {_TAKEN} THEN r.us ELSE list_append(r.us, k.u) END,
+   CASE WHEN k.e IS NULL OR {_TAKEN} THEN r.es ELSE list_append(r.es, k.e) END, NOT ({_TAKEN}) FROM r JOIN k ON k.n = r.n + 1)
+SELECT k.item_id, k.task_id, k.external_id, k.u AS url_hash FROM r JOIN k ON k.n = r.n WHERE r.kept"""
+
+
+def inserted(rows: DataFrame) -> DataFrame:
+    return dedup.unique_in_batch(dedup.with_keys(rows)).select("item_id", "task_id", "external_id", "url_hash")
+
+
+@query("d08_unique_in_batch", check=inserted_sql("SELECT * FROM v_items"))
 def d08(t: Tables) -> DataFrame:
-    return dedup.unique_in_batch(dedup.with_keys(t.v_items)).select("item_id", "task_id", "external_id", "url_hash")
+    return inserted(t.v_items)
+
+
+# Keys that cross: a row that loses by its external id must not take its URL, and the other way round.
+CROSSED_SQL = """SELECT item_id, task_id, title, summary, created_at, 'https://e.com/' || CAST((item_id * 7) % 450 AS STRING) AS url,
+ CASE WHEN item_id % 5 > 0 THEN 'x' || CAST(item_id % 7 AS STRING) END AS external_id FROM v_items"""
+
+
+@query("d08_crossed_keys", check=inserted_sql(CROSSED_SQL))
+def d08_crossed(t: Tables) -> DataFrame:
+    return inserted(t.sql(CROSSED_SQL))
+
 
 
 @query("d09_dedup_accounting", check=f"""WITH {KEYED_SQL}, {FRESH_SQL}

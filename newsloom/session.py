@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +23,8 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "new
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("NEWSLOOM_DRIVER_MEMORY", "12g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.warehouse.dir", os.environ.get("NEWSLOOM_WAREHOUSE", "/tmp/newsloom-warehouse"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,17 +32,17 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "new
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; only a local run may make its own."""
+    """The checkpoint folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, as in tests, a folder of this session beside the tables of the warehouse,
+    which all executors reach as well.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="newsloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -140,6 +140,14 @@ def test_unique_in_batch(spark):
     assert {r[0] for r in dedup.unique_in_batch(batch).select("item_id").collect()} == {1, 4, 5}
 
 
+def test_a_failed_row_takes_no_key(spark):
+    batch = dedup.with_keys(items(
+        spark, (1, "a", "T", "S", "https://e.com/1", "k"), (2, "a", "U", "S", "https://e.com/2", "k"),
+        (3, "a", "V", "S", "https://e.com/2", "m"), (4, "a", "W", "S", "https://e.com/3", "m"), (5, "a", "W", "S", "https://e.com/3", None)))
+    assert {r[0] for r in dedup.unique_in_batch(batch).select("item_id").collect()} == {1, 3, 5}
+    assert dedup.unique_in_batch(batch.limit(0)).count() == 0
+
+
 def test_blank_keys_spread(spark):
     many = spark.range(2000).select(
         F.col("id").cast("int").alias("item_id"), F.lit("a").alias("task_id"), F.lit("t").alias("title"), F.col("id").cast("string").alias("summary"),
