@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import contains_any, let, normalize_text, strip
+from newsloom.functions.text import contains_any, let, normalize_text, strip, to_nfc
 
 # Keyword lists, checked in this order.
 CONTENT_TYPES = (
@@ -93,7 +93,7 @@ def confidence(score: Column) -> Column:
 
 def title_fingerprint(title: Column) -> Column:
     """First 16 hex digits of SHA-256 of the normalised title; empty stays empty."""
-    text = normalize_text(title)
+    text = normalize_text(to_nfc(title))
     return F.when(text == "", "").otherwise(F.substring(F.sha2(text, 256), 1, 16))
 
 

@@ -74,7 +74,8 @@ def tokens_of(normalized: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    return tokens_of(normalize_text(text))
+    """Tokens of any text, composed first; not for use inside a lambda, where no UDF can stand."""
+    return tokens_of(normalize_text(to_nfc(text)))
 
 
 def keywords(title: Column, count: int = 5) -> Column:

@@ -39,6 +39,10 @@ SELECT d.doc_id AS item_id, d.source AS task_id,
  e.ts AS fetched_at, e.ts AS created_at
 FROM (SELECT doc_id, source, text, doc_id * CAST(floor((SELECT count(*) FROM events) / (SELECT count(*) FROM documents)) AS BIGINT) AS at_event
  FROM documents) d JOIN events e ON e.event_id = d.at_event""",
+    # Titles of every other item with their accents as marks of their own.
+    "v_items_mixed": """
+SELECT item_id, task_id, CASE WHEN item_id % 2 = 0 THEN replace(replace(replace(replace(title, 'é', 'e\u0301'), 'ü', 'u\u0308'), 'ó', 'o\u0301'), 'ö', 'o\u0308') ELSE title END AS title,
+ summary, url, external_id, fetched_at, created_at FROM v_items""",
     "v_interactions": """
 SELECT event_id AS interaction_id, user_id,
  (event_id * 7) % (SELECT count(*) FROM documents) AS item_id,

@@ -192,11 +192,11 @@ def d05(t: Tables) -> DataFrame:
     return t.v_items.select("item_id", dedup.content_hash(F.col("title"), F.col("summary")).alias("content_hash"))
 
 
-@query("d06_title_fingerprint", check=r"""WITH k AS (SELECT item_id, trim(regexp_replace(lower(nfc_normalize(title)), '[^\p{L}\p{N}_]+', ' ', 'g')) AS n FROM v_items)
+@query("d06_title_fingerprint", check=r"""WITH k AS (SELECT item_id, trim(regexp_replace(lower(nfc_normalize(title)), '[^\p{L}\p{N}_]+', ' ', 'g')) AS n FROM v_items_mixed)
 SELECT item_id, CASE WHEN n = '' THEN '' ELSE sha256(n)[1:16] END AS fingerprint FROM k""")
 def d06(t: Tables) -> DataFrame:
     from newsloom.functions.labels import title_fingerprint
-    return t.v_items.select("item_id", title_fingerprint(text.to_nfc(F.col("title"))).alias("fingerprint"))
+    return t.v_items_mixed.select("item_id", title_fingerprint(F.col("title")).alias("fingerprint"))
 
 
 # History is what was created before this moment, the batch is the rest.

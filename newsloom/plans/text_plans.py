@@ -64,9 +64,13 @@ def f01(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.normalize_text(text.to_nfc(F.col("text"))).alias("normalized"))
 
 
-@query("f02_tokenize", check=f"SELECT doc_id, array_to_string({token_set_sql('text')}, ' ') AS tokens FROM documents")
+# Every other text with its accents as marks of their own.
+MIXED_SQL = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, 'é', 'e\u0301'), 'ü', 'u\u0308') ELSE text END AS text FROM documents"""
+
+
+@query("f02_tokenize", check=f"WITH d AS ({MIXED_SQL}) SELECT doc_id, array_to_string({token_set_sql('text')}, ' ') AS tokens FROM d")
 def f02(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return t.sql(MIXED_SQL).select(
         "doc_id", F.array_join(F.sort_array(text.tokenize(F.col("text"))), " ").alias("tokens"))
 
 
@@ -258,10 +262,10 @@ def f18(t: Tables) -> DataFrame:
     return t.documents.filter(text.matches_keywords(F.col("source"), F.col("text"), words)).select("doc_id")
 
 
-@query("f19_title_keywords", check=f"""WITH k AS (SELECT item_id, {tokens_sql('title')} AS toks FROM v_items)
+@query("f19_title_keywords", check=f"""WITH k AS (SELECT item_id, {tokens_sql('title')} AS toks FROM v_items_mixed)
 SELECT item_id, array_to_string(list_filter(toks, lambda t: length(t) > 3)[1:5], ' ') AS keywords FROM k""")
 def f19(t: Tables) -> DataFrame:
-    return t.v_items.select("item_id", F.array_join(text.keywords(F.col("title")), " ").alias("keywords"))
+    return t.v_items_mixed.select("item_id", F.array_join(text.keywords(F.col("title")), " ").alias("keywords"))
 
 
 @query("f20_strip_tags", check=r"""SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS plain FROM pages""")
@@ -320,9 +324,9 @@ def f25(t: Tables) -> DataFrame:
  array_to_string({names_sql(JOINED, 'company')}, '|') AS companies, array_to_string({names_sql(JOINED, 'ai_model')}, '|') AS ai_models,
  CASE WHEN len(regexp_extract_all(title || ' ' || summary, '[\x{{4e00}}-\x{{9fff}}]'))::DOUBLE / length(regexp_replace(title || ' ' || summary, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) > 0.3 THEN 'zh' ELSE 'en' END AS language,
  {rules_sql(JOINED, labels.CONTENT_TYPES, 'article')} AS content_type,
- CASE WHEN {norm_sql('title')} = '' THEN '' ELSE sha256({norm_sql('title')})[1:16] END AS fingerprint, task_id, url, fetched_at AS published_at FROM v_items""")
+ CASE WHEN {norm_sql('title')} = '' THEN '' ELSE sha256({norm_sql('title')})[1:16] END AS fingerprint, task_id, url, fetched_at AS published_at FROM v_items_mixed""")
 def f26(t: Tables) -> DataFrame:
-    made = features.item_features(t.v_items)
+    made = features.item_features(t.v_items_mixed)
     return made.select(
         "item_id", F.array_join(F.sort_array("features.title_tokens"), " ").alias("title_tokens"),
         F.array_join("features.entities.company", "|").alias("companies"),
