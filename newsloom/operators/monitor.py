@@ -26,7 +26,7 @@ TRANSITIONS: dict[str, tuple[str, ...]] = {
 }
 FINAL_STATES = ("completed", "partial_failed", "failed", "cancelled", "interrupted")
 # Limits and messages.
-HEALTH_RUNS, REPLAY_LIMIT, ERROR_STREAK, RETENTION_DAYS = 50, 500, 3, 30
+HEALTH_RUNS, ERROR_STREAK, RETENTION_DAYS = 50, 3, 30
 INTERRUPTED_MESSAGE = "Process restarted during execution"
 REQUIRED_CONFIG = (
     ("source_url", "来源 URL"), ("selector_list", "列表项 Selector"),
@@ -85,8 +85,10 @@ def sequence_events(run_events: DataFrame) -> DataFrame:
                            windows.day("created_at"), {"seq": ("sum", F.lit(1))})
 
 
-def replay_after(run_events: DataFrame, cursors: DataFrame, limit: int = REPLAY_LIMIT) -> DataFrame:
-    """Events of a task after its cursor event (task_id, event_id), oldest first, at most `limit`.
+def replay_after(run_events: DataFrame, cursors: DataFrame, limit: int | None = None) -> DataFrame:
+    """Events of a task after its cursor event (task_id, event_id), oldest first.
+
+    With a `limit` a page of that many; the last event of a page is the cursor of the next one.
 
     Position is (time, id), so events of the same second are not lost. An unknown cursor
     replays nothing.
@@ -95,7 +97,8 @@ def replay_after(run_events: DataFrame, cursors: DataFrame, limit: int = REPLAY_
         "task_id", F.struct("created_at", "event_id").alias("_cursor"))
     later = run_events.join(at, "task_id").filter(F.struct("created_at", "event_id") > F.col("_cursor"))
     order = W.partitionBy("task_id").orderBy("created_at", "event_id")
-    return later.drop("_cursor").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    return later.drop("_cursor").withColumn("position", F.row_number().over(order)).filter(
+        F.lit(True) if limit is None else F.col("position") <= limit)
 
 
 def latest_events(run_events: DataFrame, by: str = "execution_id") -> DataFrame:

@@ -143,7 +143,7 @@ CURSOR_SQL = "SELECT task_id, max(event_id) AS event_id FROM v_run_events WHERE
 
 @query("x06_replay_after_cursor", check=f"""WITH c AS ({CURSOR_SQL}), p AS (SELECT c.task_id, e.created_at, e.event_id FROM c JOIN v_run_events e USING (task_id, event_id)),
  r AS (SELECT e.task_id, e.event_id, e.state, row_number() OVER (PARTITION BY e.task_id ORDER BY e.created_at, e.event_id) AS position FROM v_run_events e JOIN p ON p.task_id = e.task_id AND (e.created_at > p.created_at OR (e.created_at = p.created_at AND e.event_id > p.event_id)))
-SELECT task_id, event_id, state, CAST(position AS INT) AS position FROM r WHERE position <= 500""")
+SELECT task_id, event_id, state, CAST(position AS INT) AS position FROM r""")
 def x06(t: Tables) -> DataFrame:
     return monitor.replay_after(t.v_run_events, t.sql(CURSOR_SQL)).select("task_id", "event_id", "state", "position")
 

@@ -119,7 +119,7 @@ LOG_SQL = """SELECT task_id AS crawl_id, item_id, 1 + CAST(floor(item_id / 140)
   WHERE kept AND l.page_no <= 10 AND (stop_at IS NULL OR l.page_no < stop_at))
 SELECT crawl_id, page_no, item_id, url, sha256(url) AS url_hash, item_order FROM k WHERE item_order <= 30""")
 def s08(t: Tables) -> DataFrame:
-    return crawl_log.trim_crawls(t.sql(LOG_SQL), max_items=30).select(
+    return crawl_log.trim_crawls(t.sql(LOG_SQL), max_pages=10, max_items=30).select(
         "crawl_id", "page_no", "item_id", "url", "url_hash", F.col("item_order").cast("bigint").alias("item_order"))
 
 
@@ -167,7 +167,7 @@ def s11(t: Tables) -> DataFrame:
 
 
 @query("s12_compact_items", check="""SELECT i.item_id, i.title, i.url, i.summary, k.name AS task_name, i.fetched_at, i.is_read, i.is_starred
-FROM v_items i JOIN v_tasks k USING (task_id) ORDER BY i.created_at DESC, i.item_id DESC LIMIT 100""")
+FROM v_items i JOIN v_tasks k USING (task_id) ORDER BY i.created_at DESC, i.item_id DESC LIMIT 500""")
 def s12(t: Tables) -> DataFrame:
     return feed.compact_items(t.v_items, t.v_tasks, 500)
 

@@ -220,29 +220,6 @@ def f15_repo(t: Tables) -> DataFrame:
     return t.v_items.select("item_id", F.array_join(entities.repositories(body), "|").alias("github_repo"))
 
 
-def overlap_sql(a: str, b: str, kinds) -> str:
-    return "(" + " + ".join(jaccard_sql(f"{a}_{k}", f"{b}_{k}") for k in kinds) + ") / 9"
-
-
-@query("f16_entity_overlap", check=f"""WITH p AS MATERIALIZED ({PAIRS_SQL}),
- k AS MATERIALIZED (SELECT item_a, item_b, """ + ", ".join(
-    f"{names_sql('lower(title_a || chr(32) || summary_a)', k)} AS a_{k}, {names_sql('lower(title_b || chr(32) || summary_b)', k)} AS b_{k}"
-    for k in entities.DICTIONARIES) + f""" FROM p)
-SELECT item_a, item_b, round({overlap_sql('a', 'b', entities.DICTIONARIES)}, 6) AS overlap FROM k""")
-def f16(t: Tables) -> DataFrame:
-    """Dictionary types only, so that the SQL check is exact; all nine types run in the scoring queries."""
-    def dictionary_part(title: str, summary: str):
-        body = F.concat_ws(" ", title, summary)
-        empty = F.array().cast("array<string>")
-        return F.struct(*[
-            (entities.known_names(body, entities.DICTIONARIES[k]) if k in entities.DICTIONARIES else empty).alias(k)
-            for k in entities.ENTITY_TYPES])
-    pairs = title_pairs(t).select(
-        "item_a", "item_b", dictionary_part("title_a", "summary_a").alias("ea"),
-        dictionary_part("title_b", "summary_b").alias("eb"))
-    return pairs.select("item_a", "item_b", F.round(entities.entity_overlap(F.col("ea"), F.col("eb")), 6).alias("overlap"))
-
-
 @query("f17_source_novelty", check="""WITH p AS (SELECT thread_id, list(DISTINCT task_id) AS platforms FROM v_thread_items GROUP BY thread_id)
 SELECT i.item_id, p.thread_id, CASE WHEN i.item_id % 13 = 0 THEN 0.5 WHEN list_contains(p.platforms, i.task_id) THEN 0.3 ELSE 1.0 END::DOUBLE AS novelty
 FROM v_items i JOIN p ON p.thread_id = 't' || CAST((i.item_id + 1) % 97 AS VARCHAR)""")
@@ -367,9 +344,9 @@ def d03(t: Tables) -> DataFrame:
     return links.select("page_id", "href", urls.resolve_url(F.col("url"), F.col("href")).alias("absolute"))
 
 
-@query("d04_valid_url", check=f"""SELECT page_id, regexp_matches(url, '^(?i:https?)://[^/?#]+') AS page_ok,
- regexp_matches(regexp_extract(html, 'href="([^"]*)"', 1), '^(?i:https?)://[^/?#]+') AS first_link_ok FROM pages""")
+@query("d04_valid_url", check="""SELECT page_id, regexp_matches(url, '^(?i:https?)://[^/?#]+') AS page_ok, link,
+ regexp_matches(link, '^(?i:https?)://[^/?#]+') AS link_ok FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages)""")
 def d04(t: Tables) -> DataFrame:
-    return t.pages.select(
-        "page_id", urls.is_valid_url(F.col("url")).alias("page_ok"),
-        urls.is_valid_url(F.regexp_extract("html", 'href="([^"]*)"', 1)).alias("first_link_ok"))
+    links = t.pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+    return links.select(
+        "page_id", urls.is_valid_url(F.col("url")).alias("page_ok"), "link", urls.is_valid_url(F.col("link")).alias("link_ok"))

@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.urls import url_hash
 
-# Limits of one crawl.
-MAX_PAGES, MAX_ITEMS = 10, 500
 
-
-def trim_crawls(log: DataFrame, max_pages: int = MAX_PAGES, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Kept items of each crawl with their order.
+def trim_crawls(log: DataFrame, max_pages: int | None = None, max_items: int | None = None) -> DataFrame:
+    """Kept items of each crawl with their order; without limits only a repeated page ends a crawl.
 
     `log`: crawl_id, page_no (from 1), item_no, url, kept (passed the keyword filter).
     A page whose set of URL hashes equals the previous page's ends the crawl; the comparison
-    uses all items, the item limit counts the kept ones. Every window holds at most
-    `max_pages` pages or one page of items.
+    uses all items, the item limit counts the kept ones. Every window holds the pages of one
+    crawl or the items of one page.
     """
-    log = log.filter(F.col("page_no") <= max_pages).withColumn("url_hash", url_hash(F.col("url")))
+    if max_pages is not None:
+        log = log.filter(F.col("page_no") <= max_pages)
+    log = log.withColumn("url_hash", url_hash(F.col("url")))
     pages = log.groupBy("crawl_id", "page_no").agg(
         F.sort_array(F.collect_set("url_hash")).alias("hashes"),
         F.count_if("kept").alias("n_kept"))
@@ -31,8 +30,12 @@ def trim_crawls(log: DataFrame, max_pages: int = MAX_PAGES, max_items: int = MAX
     pages = pages.select(
         "crawl_id", "page_no", F.max("repeated").over(upto).alias("stopped"),
         F.coalesce(F.sum("n_kept").over(before), F.lit(0)).alias("items_before"))
-    alive = pages.filter((F.col("stopped") == 0) & (F.col("items_before") < max_items))
+    alive = pages.filter(F.col("stopped") == 0)
+    if max_items is not None:
+        alive = alive.filter(F.col("items_before") < max_items)
     in_page = W.partitionBy("crawl_id", "page_no").orderBy("item_no")
     items = log.filter("kept").join(alive, ["crawl_id", "page_no"])
     ranked = items.withColumn("item_order", F.col("items_before") + F.row_number().over(in_page))
-    return ranked.filter(F.col("item_order") <= max_items).drop("stopped", "items_before", "kept")
+    if max_items is not None:
+        ranked = ranked.filter(F.col("item_order") <= max_items)
+    return ranked.drop("stopped", "items_before", "kept")
