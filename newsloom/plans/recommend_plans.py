@@ -138,21 +138,30 @@ def r09(t: Tables) -> DataFrame:
     return scored.select("item_id", F.array_join(F.transform("reasons", lambda r: r["label"]), "; ").alias("reasons"))
 
 
-@query("r10_reading_profile", check=f"""WITH RECURSIVE {rounded_affinity_sql()}, top AS (SELECT * FROM a9 ORDER BY affinity_score DESC, affinity_type, affinity_value LIMIT 50)
-SELECT CASE WHEN affinity_type IN ('task', 'platform') THEN 'task' ELSE affinity_type END AS display_type, CASE WHEN affinity_type = 'task' THEN coalesce(k.name, '{recommend.DELETED_TASK}') ELSE affinity_value END AS display_value,
+def affinity_by_reader(t: Tables) -> DataFrame:
+    folded = recommend.fold_affinity(recommend.affinity_deltas(t.v_interactions, t.v_items, t.v_tasks), by=["user_id"])
+    return folded.withColumn("affinity_score", F.round(F.col("affinity_score") + NUDGE, 9))
+
+
+READER_SQL = f"""{DELTA_SQL}, {fold_sql('user_id, affinity_type, affinity_value')}, a9 AS (SELECT * REPLACE (round(affinity_score + 1e-12, 9) AS affinity_score) FROM af),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity_score DESC, affinity_type, affinity_value) AS rank FROM a9)"""
+
+
+@query("r10_reading_profile", check=f"""WITH RECURSIVE {READER_SQL}, g AS (SELECT user_id, CASE WHEN affinity_type IN ('task', 'platform') THEN 'task' ELSE affinity_type END AS display_type,
+ CASE WHEN affinity_type = 'task' THEN coalesce(k.name, '{recommend.DELETED_TASK}') ELSE affinity_value END AS display_value,
  round(sum(affinity_score), 6) AS affinity_score, max(interaction_count) AS interaction_count, max(last_interacted_at) AS last_interacted_at
-FROM top LEFT JOIN v_tasks k ON k.task_id = top.affinity_value AND k.deleted_at IS NULL GROUP BY 1, 2""")
+FROM rk LEFT JOIN v_tasks k ON k.task_id = rk.affinity_value AND k.deleted_at IS NULL WHERE rank <= 50 GROUP BY 1, 2, 3) SELECT * FROM g""")
 def r10(t: Tables) -> DataFrame:
     live = t.v_tasks.filter("deleted_at IS NULL")
-    return recommend.reading_profile(affinity(t), live).withColumn("affinity_score", F.round("affinity_score", 6))
+    return recommend.reading_profile(affinity_by_reader(t), live).withColumn("affinity_score", F.round("affinity_score", 6))
 
 
-@query("r11_suggested_topics", check=f"""WITH RECURSIVE {rounded_affinity_sql()}, top AS (SELECT * FROM a9 ORDER BY affinity_score DESC, affinity_type, affinity_value LIMIT 20),
- w AS (SELECT unnest(list_filter({token_set_sql('affinity_value')}, lambda t: length(t) > 2)) AS topic, 'task' AS k, affinity_score FROM top WHERE affinity_type = 'task' UNION ALL SELECT affinity_value, 'keyword', affinity_score FROM top WHERE affinity_type = 'keyword'),
- b AS (SELECT topic, arg_max(CASE WHEN k = 'task' AND regexp_matches(topic, 'ai|ml|gpt|llm') THEN 'ai' ELSE 'custom' END, {{'s': affinity_score, 'k': k}}) AS category, round(max(affinity_score), 2) AS score FROM w GROUP BY topic)
-SELECT * FROM b ORDER BY score DESC, topic LIMIT 10""")
+@query("r11_suggested_topics", check=f"""WITH RECURSIVE {READER_SQL}, top AS (SELECT * FROM rk WHERE rank <= 20),
+ w AS (SELECT user_id, unnest(list_filter({token_set_sql('affinity_value')}, lambda t: length(t) > 2)) AS topic, 'task' AS k, affinity_score FROM top WHERE affinity_type = 'task' UNION ALL SELECT user_id, affinity_value, 'keyword', affinity_score FROM top WHERE affinity_type = 'keyword'),
+ b AS (SELECT user_id, topic, arg_max(CASE WHEN k = 'task' AND regexp_matches(topic, 'ai|ml|gpt|llm') THEN 'ai' ELSE 'custom' END, {{'s': affinity_score, 'k': k}}) AS category, round(max(affinity_score), 2) AS score FROM w GROUP BY user_id, topic)
+SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, topic) <= 10""")
 def r11(t: Tables) -> DataFrame:
-    return recommend.suggested_topics(affinity(t))
+    return recommend.suggested_topics(affinity_by_reader(t))
 
 
 @query("r12_recent_interactions", check=f"""SELECT interaction_id, user_id, item_id, created_at FROM v_interactions WHERE interaction_type = 'star' AND created_at >= {NOW} - INTERVAL 72 HOUR ORDER BY created_at DESC, interaction_id DESC LIMIT 100""")
