@@ -18,7 +18,7 @@ INDEX_BUCKETS = 1024
 def _accent_table() -> tuple[str, str]:
     """Every character whose decomposition is one base letter plus marks, and that letter."""
     source, target = [], []
-    for code in range(0xC0, min(sys.maxunicode, 0xFFFF) + 1):
+    for code in range(0xC0, sys.maxunicode + 1):
         char = chr(code)
         parts = unicodedata.normalize("NFD", char)
         if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]) and not unicodedata.combining(parts[0]):
@@ -62,9 +62,10 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(INDEX_BUCKETS)).cast("int")
 
 
-def write_token_index(index: DataFrame, path: str) -> None:
-    """Store by bucket, so that a search reads only the folders of its tokens."""
-    index.write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_token_index(index: DataFrame, path: str, files: int = 1) -> None:
+    """Store by bucket, in at most `files` files each, so that a search reads only the folders of its tokens."""
+    part = F.pmod(F.xxhash64("item_id"), F.lit(files))
+    index.repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def phrase_search_indexed(index: DataFrame, phrase: str) -> DataFrame:
@@ -77,7 +78,8 @@ def phrase_search_indexed(index: DataFrame, phrase: str) -> DataFrame:
     if not words:
         return index.select("item_id").limit(0)
     slots = F.array(*[F.struct(F.lit(w).alias("token"), F.lit(i).alias("slot")) for i, w in enumerate(words)])
-    rows = index.filter(F.col("token").isin(*set(words)))
+    # The buckets fold to constants, so a stored index is pruned to their folders.
+    rows = index.filter(F.col("bucket").isin(*[_bucket(F.lit(w)) for w in sorted(set(words))]) & F.col("token").isin(*set(words)))
     rows = rows.withColumn("_slot", F.explode(F.filter(slots, lambda s: s["token"] == F.col("token"))))
     starts = rows.groupBy("item_id", "field", (F.col("position") - F.col("_slot.slot")).alias("start")).agg(
         F.count("*").alias("votes"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators import dashboard, ledger, monitor, search
 from newsloom.plans.fixtures import AS_OF, Tables
 from newsloom.plans.registry import query
+from newsloom.session import shared_folder
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 # A day with data, for the "today" figures.
@@ -39,6 +42,13 @@ def q02_indexed(t: Tables) -> DataFrame:
     return search.phrase_search_indexed(search.token_index(t.v_items), PHRASE)
 
 
+@query("q02_phrase_search_stored", check=PHRASE_SQL)
+def q02_stored(t: Tables) -> DataFrame:
+    path = f"{shared_folder(t.spark)}/index-{uuid4().hex}"
+    search.write_token_index(search.token_index(t.v_items), path)
+    return search.phrase_search_indexed(t.spark.read.parquet(path), PHRASE)
+
+
 @query("q03_substring_search", check="""SELECT item_id FROM v_items WHERE contains(lower(title), 'tion t') OR contains(lower(summary), 'tion t')""")
 def q03(t: Tables) -> DataFrame:
     return search.substring_search(t.v_items, "TION t").select("item_id")
