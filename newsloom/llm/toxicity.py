@@ -121,17 +121,20 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), key: s
     """
     known = (labels.filter("toxic IN (0, 1)").filter(~held_out(key)).groupBy(key)
              .agg(F.max("toxic").cast("long").alias("toxic")))
-    short = docs.select(key, common.text_of(text).alias("t")).filter(F.char_length("t") <= how.chars)
+    texts = docs.select(key, common.text_of(text).alias("t"))
+    short = texts.filter(F.char_length("t") <= how.chars).select(key)
     parts = [known.filter(F.col("toxic") == label).join(short, key).select(
-        "toxic", "t", F.xxhash64(key).alias("h")).orderBy("h", "t").limit(how.per_label) for label in (0, 1)]
+        key, "toxic", F.xxhash64(key).alias("h")).distinct().orderBy("h", key).limit(how.per_label) for label in (0, 1)]
+    # At most twice `per_label` keys; only their texts move.
+    picked = common.written(parts[0].union(parts[1]), "sample")
+    sampled = texts.join(F.broadcast(picked), key).filter(F.char_length("t") <= how.chars).select("toxic", "t", "h")
 
     def one(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["h", "toxic", "t"])
         weights = fit(pa.array(sample["t"]), sample["toxic"].to_numpy(), how)
         return pd.DataFrame({"weights": [weights.astype("<f8").tobytes()]})
 
-    sample = parts[0].union(parts[1]).withColumn("one", F.lit(1))
-    return sample.groupBy("one").applyInPandas(one, "weights binary")
+    return sampled.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(one, "weights binary")
 
 
 def weights_of(model: DataFrame, how: Training = Training()) -> np.ndarray:
