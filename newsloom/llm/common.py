@@ -56,16 +56,18 @@ def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Iterator
             yield pa.RecordBatch.from_pydict(columns, schema=schema)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose key is among the distinct `ids`; a null key matches a null key."""
-    wanted = ids.select(F.col(key).alias("_wanted")).distinct()
-    return docs.join(wanted, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
+def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", once: str | None = None) -> DataFrame:
+    """Rows of `docs` whose key is among `ids`, and those without key, with all their columns.
 
-
-def first_of_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of those that repeat both key and text."""
-    order = W.partitionBy(key, F.xxhash64(text_of(text))).orderBy(F.lit(1))
-    return docs.withColumn("_repeat", F.row_number().over(order)).filter("_repeat = 1").drop("_repeat")
+    With `once`, the name of a text column, one row of those that repeat key and text; the
+    shuffle of the join serves for that as well.
+    """
+    wanted = ids.filter(F.col(key).isNotNull()).select(key).distinct()
+    rows = docs.filter(F.col(key).isNotNull()).join(wanted.hint("merge"), key, "left_semi")
+    if once:
+        order = W.partitionBy(key, F.xxhash64(text_of(once))).orderBy(F.lit(1))
+        rows = rows.withColumn("_repeat", F.row_number().over(order)).filter("_repeat = 1").drop("_repeat")
+    return rows.select(*docs.columns).union(docs.filter(F.col(key).isNull()))
 
 
 def components(links: DataFrame, a: str, b: str, name: str = "labels") -> DataFrame:

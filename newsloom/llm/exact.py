@@ -150,5 +150,4 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose row stays in `exact_groups`, each once, with all their columns."""
-    kept = exact_groups(docs, key, text).filter("kept").select(key)
-    return common.first_of_repeats(common.keep_ids(docs, kept, key), key, text)
+    return common.keep_ids(docs, exact_groups(docs, key, text).filter("kept"), key, once=text)

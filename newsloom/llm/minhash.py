@@ -236,4 +236,4 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      settings: Settings = Settings(5, 80, 36, 5)) -> DataFrame:
     """One document of each near-duplicate group, with all its columns."""
-    return common.keep_ids(docs, near_groups(docs, key, text, settings).filter("kept").select(key), key)
+    return common.keep_ids(docs, near_groups(docs, key, text, settings).filter("kept"), key)
