@@ -33,7 +33,7 @@ def unescaped(text: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Tokens of a text where no vocabulary is at hand: runs of letters and digits, and single marks."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"))
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\t-\r \p{L}\p{N}]"))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=word_tokens,
