@@ -10,7 +10,7 @@ from newsloom.operators import dedup
 from newsloom.plans.fixtures import Tables
 from newsloom.plans.registry import query
 from newsloom.plans.text_plans import HREFS_SQL
-from newsloom.sources import catalog, crawl_log, feed, html_pages, json_payload, tables
+from newsloom.sources import catalog, crawl_log, feed, html_pages, json_payload, modes, tables
 
 STRIP_SQL = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
@@ -264,3 +264,28 @@ SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY topic ORDER BY seq) = 1"
 def d11(t: Tables) -> DataFrame:
     topics = t.documents.select(F.lower("lang").alias("topic"), F.col("source").alias("category"), F.col("doc_id").alias("seq"))
     return dedup.first_per_topic(topics)
+
+
+# Selectors of every kind, derived from the sources.
+SELECTOR_SQL = """SELECT task_id, CASE CAST(substring(task_id, 4) AS INT) % 5 WHEN 0 THEN 'json: data.items ' WHEN 1 THEN 'json-post:data.items|||' || chr(123) || '"page":1' || chr(125)
+ WHEN 2 THEN 'json-post: data.items |||[1]' WHEN 3 THEN 'rss:' ELSE 'li' END AS selector FROM v_tasks"""
+
+
+@query("u03_source_modes", check=f"""WITH s AS ({SELECTOR_SQL}), m AS (SELECT task_id, CAST(substring(task_id, 4) AS INT) % 5 AS k FROM s)
+SELECT task_id, ['json', 'json-post', 'json-post', 'rss', 'html'][k + 1] AS mode, ['data.items', 'data.items', 'data.items', '', 'li'][k + 1] AS path,
+ CASE k WHEN 1 THEN '{{"page":1}}' WHEN 2 THEN '{{}}' END AS post_body FROM m""")
+def u03(t: Tables) -> DataFrame:
+    return t.sql(SELECTOR_SQL).select("task_id", modes.source_mode(F.col("selector")).alias("m")).select("task_id", "m.*")
+
+
+@query("u03_items_by_mode", check=rf"""SELECT task_id, CASE WHEN CAST(substring(task_id, 4) AS INT) % 5 = 0 THEN 'json' ELSE 'json-post' END AS mode, {strip_sql('title')} AS title, url
+FROM v_items WHERE CAST(substring(task_id, 4) AS INT) % 5 < 3 AND {strip_sql('title')} <> ''
+UNION ALL SELECT * FROM (WITH {NEWEST_SQL} SELECT task_id, 'rss' AS mode, {strip_sql('title')} AS title, url FROM n WHERE rank <= 100 AND CAST(substring(task_id, 4) AS INT) % 5 = 3)""")
+def u03_items(t: Tables) -> DataFrame:
+    bodies = json_payloads(t.v_items).select("task_id", "base_url", "body")
+    feeds = feed.build_feeds(t.v_items, t.v_tasks, "https://reader.example.com", "Items").select(
+        F.col("feed_key").alias("task_id"), F.lit("").alias("base_url"), F.col("xml").alias("body"))
+    sent = bodies.unionByName(feeds).join(t.sql(SELECTOR_SQL), "task_id")
+    rss = F.col("selector") == "rss:"
+    sent = sent.filter(rss == F.col("body").startswith("<?xml"))
+    return modes.items_by_mode(sent, {"json": ("data.items",), "json-post": ("data.items",)})
