@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 from newsloom.llm.words import flat_bytes, span_hashes
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 _STEP = 1 << 16
 _LONG = 1 << 20
 
