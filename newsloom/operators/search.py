@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.times import moment
 
-INDEX_BUCKETS = 1024
+INDEX_BUCKETS = 128
 
 
 def _accent_table() -> tuple[str, str]:
@@ -63,9 +63,10 @@ def _bucket(token: Column) -> Column:
 
 
 def write_token_index(index: DataFrame, path: str, files: int = 1) -> None:
-    """Store by bucket, in at most `files` files each, so that a search reads only the folders of its tokens."""
+    """Store by bucket, in at most `files` files each and sorted by token, so that a search reads only
+    the folders, and in them the row groups, of its tokens. Raise `files` with the data."""
     part = F.pmod(F.xxhash64("item_id"), F.lit(files))
-    index.repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    index.repartition("bucket", part).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def phrase_search_indexed(index: DataFrame, phrase: str) -> DataFrame:
