@@ -175,6 +175,19 @@ def test_decontamination_recall_over_blocks(spark, docs, corpus, folder):
     assert len(got & want) >= 0.9 * len(want) and not got - want
 
 
+@pytest.mark.parametrize("rank", [None, 100])
+def test_decontamination_finds_copies_of_every_item(spark, docs, rank):
+    """More than 256 independent passages, the last of less weight, one item longer than a block: no copy is lost."""
+    table = [(k, " ".join([f"v{k}x{i}" for i in range(16)] * 2)) for k in range(270)]
+    table += [(k, " ".join(f"v{k}x{i}" for i in range(2000 if k == 299 else 32))) for k in range(270, 300)]
+    rows = [(k, f"one two three {text} end of it") for k, text in table]
+    how = decontaminate.Retrieval() if rank is None else decontaminate.Retrieval(rank=rank)
+    items = spark.createDataFrame(table, "item_id long, text string")
+    found = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs(rows), items, how).collect()}
+    assert found == {k: [k] for k, _ in table}
+    assert decontaminate.drop_contaminated(docs(rows), items, how).isEmpty()
+
+
 def test_decontamination_odd_rows(spark, docs, folder):
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     assert decontaminate.contaminated(empty(spark), items).count() == 0
