@@ -188,6 +188,16 @@ def test_decontamination_finds_copies_of_every_item(spark, docs, rank):
     assert decontaminate.drop_contaminated(docs(rows), items, how).isEmpty()
 
 
+def test_decontamination_repeated_words_and_shared_ids(spark, docs):
+    """Items of few words said often are found, and so are all texts of an item_id and, when dropping, those without."""
+    text = {k: " ".join([f"v{k}x{i}" for i in range(4)] * 8) for k in range(5)}
+    items = spark.createDataFrame([(1, text[1]), (2, text[2]), (2, text[3]), (None, text[4])], "item_id long, text string")
+    rows = [(k, f"one two three {t} end of it") for k, t in text.items()]
+    found = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs(rows), items).collect()}
+    assert found == {0: [], 1: [1], 2: [2], 3: [2], 4: []}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs(rows), items).collect()] == [0]
+
+
 def test_decontamination_odd_rows(spark, docs, folder):
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     assert decontaminate.contaminated(empty(spark), items).count() == 0
