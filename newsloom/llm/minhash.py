@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import common
-from newsloom.llm.words import Words, mix, words
+from newsloom.llm.words import Words, mix, sequence_hash, words
 
 U = np.uint64
 
@@ -53,20 +53,12 @@ class Settings:
 def shingle_sets(found: Words, shingle: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle are one shingle."""
     h, k = found.hashes, shingle
-    n = max(len(h) - k + 1, 0)
-    rolled = np.zeros(n, U)
-    for j in range(k):
-        rolled = rolled * U(0x2545F4914F6CDD1D) + h[j:j + n]
-    rolled = mix(rolled)
+    rolled = sequence_hash(h, np.arange(max(len(h) - k + 1, 0)), k, k)
     for low, high in zip(found.first[:-1], found.first[1:], strict=True):
         if high - low >= k:
             yield np.unique(rolled[low:high - k + 1])
         elif high > low:
-            short = U(high - low)
-            for x in h[low:high]:
-                with np.errstate(over="ignore"):
-                    short = short * U(0x9E3779B97F4A7C15) + x
-            yield mix(np.array([short], U))
+            yield sequence_hash(h, np.array([low]), high - low, high - low)
         else:
             yield np.zeros(0, U)
 

@@ -7,8 +7,8 @@ no dictionary. Whether a symbol forms depends on its neighbours only; the words
 are tracked. Equal word sequences therefore hold the same symbols wherever those depend on words
 inside the sequence alone. Each window's witness is its leftmost such symbol of the highest
 round that has one, so equal windows have equal witnesses, at most one for several words. Spark
-finds the witnesses that occur more than once; only windows around those are compared, by 96-bit
-digests of all their words.
+finds the witnesses that occur more than once; only windows around those are compared, by 96
+bits mixed from the 128-bit digests of all their words.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import common
-from newsloom.llm.words import Words, mix, windows_hash, words
+from newsloom.llm.words import Words, mix, sequence_hash, words
 
 ROUNDS = 6
 U = np.uint64
@@ -175,8 +175,8 @@ def window_rows(docs: DataFrame, size: int) -> DataFrame:
             if high > low:
                 mark[low:high] = np.isin(names[low:high].view(np.int64), wanted[offsets[i]:offsets[i + 1]])
         at, text_of = at[mark], text_of[mark]
-        h1 = windows_hash(found.hashes, size, 0x5851F42D4C957F2D)[at].view(np.int64)
-        h2 = (windows_hash(found.hashes, size, 0x14057B7EF767814F)[at] >> U(32)).astype(np.uint32).view(np.int32)
+        h1 = sequence_hash(found.hashes, at, size, 0x5851F42D4C957F2D).view(np.int64)
+        h2 = (sequence_hash(found.others, at, size, 0x14057B7EF767814F) >> U(32)).astype(np.uint32).view(np.int32)
         start = at - found.first[text_of]
         order = np.lexsort((start, keys[text_of], h2, h1))
         h1, h2, k, start = h1[order], h2[order], keys[text_of][order], start[order]

@@ -15,11 +15,10 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from newsloom.llm.words import flat_bytes, span_hashes
+from newsloom.llm.words import distinct_spans, flat_bytes
 
 CACHE_PIECES = 250_000
 _STEP = 1 << 16
@@ -70,7 +69,6 @@ class Encoder:
 
     def _empty(self) -> None:
         self.place: dict[str, int] = {}
-        self.hashed: dict[int, int] = {}
         self.starts = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
@@ -188,20 +186,26 @@ class Encoder:
         """(place of each piece of all texts in the cache, number of pieces before each text) of plain texts."""
         data, offsets = flat_bytes(texts)
         starts, ends = self._spans(data, offsets)
-        back, hashes = pd.factorize(span_hashes(data, starts, ends))
-        first = np.zeros(len(hashes), np.int64)
-        first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        # What lies between pieces is told apart like a piece, and then left out.
+        both = np.column_stack((starts, ends)).ravel()
+        new = np.append(True, both[1:] > both[:-1])
+        edges = both[new]
+        codes, spans = distinct_spans(data[edges[0]:], edges[1:] - edges[0])
+        codes = codes[(np.cumsum(new) - 1)[::2]]
+        used = np.zeros(len(spans), bool)
+        used[codes] = True
         if len(self.place) > self.limit:
             self._empty()
-        keys = hashes.tolist()
-        at = list(map(self.hashed.get, keys))
-        new = [i for i, place in enumerate(at) if place is None]
-        if new:
-            pieces = [data[starts[i]:ends[i]].tobytes().decode() for i in first[new].tolist()]
-            self._learn(pieces)
-            for i, piece in zip(new, pieces, strict=True):
-                at[i] = self.hashed[keys[i]] = self.place[piece]
-        return np.array(at, np.int64)[back] if keys else np.zeros(0, np.int64), np.searchsorted(starts, offsets)
+        at = np.zeros(len(spans), np.int64)
+        pieces = spans.filter(pa.array(used)).cast(pa.large_string()).to_pylist()
+        places = list(map(self.place.get, pieces))
+        if None in places:
+            self._learn([p for p, place in zip(pieces, places, strict=True) if place is None])
+            places = list(map(self.place.get, pieces))
+        at[used] = places
+        return at[codes], np.searchsorted(starts, offsets)
 
     def _gathered(self, at: np.ndarray) -> np.ndarray:
         lengths = self.lengths[at]
@@ -219,7 +223,7 @@ class Encoder:
         return np.flatnonzero(good), np.flatnonzero(~good), texts
 
     def encode_all(self, column: pa.Array) -> list[np.ndarray]:
-        """`encode` of every text of a column; a null text is empty. Equal pieces are told by 64-bit hashes."""
+        """`encode` of every text of a column; a null text is empty."""
         good, rest, texts = self._split(column)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         for some in (good[i:i + BATCH] for i in range(0, len(good), BATCH)):

@@ -59,24 +59,49 @@ def _arc_line(version: int, url: str, ip: str, date: str, mime: str, body: bytes
     return f"{url} {ip} {date} {mime}{between} {len(body)}\n".encode() + body + b"\n"
 
 
+def _arc_fields(names: list[str], line: str) -> dict[str, str] | None:
+    """Fields of a header line; a content type may hold blanks. None if it is no header line.
+
+    The URL, address and date stand first and the others last, so the version's field list tells
+    where the content type begins and ends.
+    """
+    parts, after = line.split(), len(names) - 4
+    if len(parts) < len(names) or not (parts[-1].isascii() and parts[-1].isdigit()):
+        return None
+    values = [*parts[:3], " ".join(parts[3:len(parts) - after]), *parts[len(parts) - after:]]
+    return dict(zip(names, values, strict=True))
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by name, content) of every record after the version block."""
-    at, names = 0, None
-    while at < len(data):
+    """(header fields by name, content) of every record after a version block.
+
+    Files may be gzip members end to end. Each version block, the first or a later one, sets the
+    field list of what follows; before the first, records are taken as version 1. A line that is
+    no header line of that list, as one without a length, is passed over, and with it what follows
+    up to the next header line. A last record cut short has the bytes that there are.
+    """
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at, names = 0, ARC_FIELDS[1].split()
+    while 0 <= at < len(data):
         end = data.find(b"\n", at)
-        if end < 0:
-            return
-        parts = data[at:end].decode("utf-8", "replace").split(" ")
-        at = end + 1
-        if parts == [""]:
+        line = data[at:end if end >= 0 else len(data)].decode("utf-8", "replace")
+        at = end + 1 if end >= 0 else len(data)
+        opens = line.startswith("filedesc:")
+        fields = _arc_fields(ARC_FIELDS[1].split() if opens else names, line)
+        if fields is None:
             continue
-        length = int(parts[-1])
+        length = int(fields["Archive-length"])
         content = data[at:at + length]
         at += length
-        if names is None:
-            names = content.split(b"\n", 2)[1].decode().split(" ")
-        else:
-            yield dict(zip(names, parts, strict=True)), content
+        if not opens:
+            yield fields, content
+            continue
+        lines = content.decode("utf-8", "replace").split("\n")
+        version = lines[0].split(" ", 1)[0]
+        given = lines[1].split() if len(lines) > 1 else []
+        whole = {"URL", "Archive-date", "Content-type"} <= set(given[:4]) and given[-1] == "Archive-length"
+        names = given if whole else ARC_FIELDS[2 if version == "2" else 1].split()
 
 
 def split_http(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -139,16 +164,20 @@ def with_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Records with `target`, `target_url`, `target_date` of the equal record they revisit, else null.
 
     Payloads are equal if length, SHA-1 and SHA-256 are; of equal ones of at least `least` bytes
-    that of the largest page_id is kept, a missing one being the least, then by record id.
+    that of the largest page_id is kept, a missing one being the least, then by record id. Equal
+    records are found on rows without payload; payloads then meet their target by record id.
     """
-    sized = records.withColumns({"bytes": F.octet_length("payload"), "sha2": F.sha2(F.col("payload"), 256)})
-    keepers = (sized.filter(F.col("bytes") >= least).groupBy("sha1", "sha2", "bytes")
+    sized = records.select("record_id", "page_id", "url", "date", "sha1", F.octet_length("payload").alias("bytes"),
+                           F.sha2(F.col("payload"), 256).alias("sha2"))
+    narrow = common.written(sized.filter(F.col("bytes") >= least), "sizes")
+    keepers = (narrow.groupBy("sha1", "sha2", "bytes")
                .agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("best"), F.count("*").alias("n"))
                .filter("n > 1").select("sha1", "sha2", "bytes", "best"))
-    other = F.col("best.record_id") != F.col("record_id")
-    return sized.join(keepers, ["sha1", "sha2", "bytes"], "left").select(
-        *records.columns, *[F.when(other, F.col(f"best.{c}")).alias(n) for c, n in (
-            ("record_id", "target"), ("url", "target_url"), ("date", "target_date"))])
+    targets = common.written(
+        narrow.join(keepers, ["sha1", "sha2", "bytes"]).filter(F.col("best.record_id") != F.col("record_id"))
+        .select("record_id", *[F.col(f"best.{c}").alias(n) for c, n in (
+            ("record_id", "target"), ("url", "target_url"), ("date", "target_date"))]).distinct(), "targets")
+    return records.join(targets, "record_id", "left").select(*records.columns, "target", "target_url", "target_date")
 
 
 def _warc_record(r: dict) -> bytes:
@@ -243,9 +272,10 @@ def archived(pages: DataFrame, folder: str, key: str = "page_id", html: str = "h
     A null html is an empty payload and a null url a dash. A page without key is written and read
     like any other, with a null key. Whole rows that repeat are one record id; of equal payloads
     one record id is the response. Other columns are not read. A payload that does not match its
-    digest raises.
+    digest raises. Pages are converted twice, once for their digests and once to be written, so no
+    copy of the payloads is kept between the two.
     """
-    records = common.written(convert(to_arc(pages, key=key, html=html, url=url)), "records")
+    records = convert(to_arc(pages, key=key, html=html, url=url))
     manifest = common.written(write_warc(with_revisits(records), folder), "manifest")
     rows = common.written(read_warc(manifest, folder), "read")
     if not rows.filter("NOT payload_ok").isEmpty():

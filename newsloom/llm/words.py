@@ -1,12 +1,13 @@
-"""Words of whole texts as hashes, computed over the bytes of an Arrow column.
+"""Words of whole texts as digests, computed over the bytes of an Arrow column.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Its 64-bit hash is a polynomial
-over randomly drawn byte values, read off one running sum, and then mixed. Bytes are taken in
-slices that end at a blank, so the memory beside the text is a few dozen bytes a word.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Arrow's dictionary tells the
+words of a batch apart by their bytes; each distinct one gets a cryptographic digest of 128 bits
+(BLAKE2b), so that all tasks agree and no choice of words makes two of them meet.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 18
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".!?,;:\"'()[]{}*_-"]] = True
 
@@ -43,13 +45,6 @@ def _bytes(fold: bool) -> np.ndarray:
     return values
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, U), np.full(n, _INVERSE, U)
-    up[0] = down[0] = U(1)
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 @dataclass
 class Words:
     data: np.ndarray      # all bytes
@@ -57,7 +52,8 @@ class Words:
     starts: np.ndarray    # byte where each word starts
     ends: np.ndarray      # byte after each word
     first: np.ndarray     # number of words before each text, and in all
-    hashes: np.ndarray    # 64-bit hash of each word
+    hashes: np.ndarray    # first 64 bits of each word's digest
+    others: np.ndarray    # the other 64 bits
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -67,24 +63,22 @@ class Words:
         return np.diff(self.first)
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    n = 1 << max(len(data) - 1, SLICE - 1).bit_length()
-    up, down = _powers(n) if n <= 2 * SLICE else _powers.__wrapped__(n)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_bytes(fold)[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+def distinct_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each span's bytes among the distinct ones, those) of spans that lie end to end."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Hash of each byte span; spans stand in order and do not overlap."""
-    hashes = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):  # slices of whole spans
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, "right")))
-        low = starts[at]
-        hashes[at:to] = _hash(data[low: ends[to - 1]], starts[at:to] - low, ends[at:to] - low, fold)
-        at = to
-    return hashes
+def digests(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the digest of each span of `data`; the spans lie end to end."""
+    if not len(ends):
+        return np.zeros(0, U), np.zeros(0, U)
+    codes, spans = distinct_spans(data, ends)
+    raw = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in spans.to_pylist()])
+    halves = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return halves[codes, 0], halves[codes, 1]
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +96,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
     """Words of every text of a string column; `fold` takes A-Z as a-z. A null text has none.
 
-    With `trim`, hashes are those of the words without up to three marks at each end.
+    With `trim`, digests are those of the words without up to three marks at each end.
     """
     data, offsets = flat_bytes(column)
     space = _SPACE[data]
@@ -113,8 +107,9 @@ def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
     after = np.concatenate((space[1:], [True])) if len(data) else space
     starts = np.flatnonzero(inside & (before | border[:-1]))
     ends = np.flatnonzero(inside & (after | border[1:])) + 1
-    hashes = span_hashes(data, starts, ends, fold)
-    found = Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+    packed = data[inside]
+    hashes, others = digests(_LOWER[packed] if fold else packed, np.cumsum(ends - starts))
+    found = Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes, others)
     if trim:
         _trim(found, fold)
     return found
@@ -132,7 +127,7 @@ def _trim(found: Words, fold: bool) -> None:
         at = np.repeat(starts[changed] - offsets[:-1], lengths) + np.arange(offsets[-1])
         inner = words(pa.LargeStringArray.from_buffers(
             len(changed), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(found.data[at])), fold)
-        found.hashes[changed] = inner.hashes
+        found.hashes[changed], found.others[changed] = inner.hashes, inner.others
 
 
 def prefix_hashes(found: Words, size: int, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -144,12 +139,9 @@ def prefix_hashes(found: Words, size: int, fold: bool = False) -> tuple[np.ndarr
     return at, mix(out)
 
 
-def windows_hash(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """Hash of each run of `size` consecutive word hashes (64 bits, order matters)."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, U)
-    out, factor = np.zeros(n, U), U(seed | 1)
+def sequence_hash(hashes: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hash of the `size` consecutive word digests from each place `at` (64 bits, order matters)."""
+    out = np.full(len(at), U(seed))
     for k in range(size):
-        out = out * factor + hashes[k: k + n]
-    return mix(out)
+        out = mix(out * _BASE ^ hashes[at + k])
+    return out

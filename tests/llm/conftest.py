@@ -30,7 +30,11 @@ def corpus(spark, folder):
 
 
 LONG = " ".join(f"w{i * 7919 % 9973}" for i in range(6000))
+# Two words that meet under every polynomial hash modulo a power of two: Thue-Morse and its complement.
+TWINS = tuple("".join("ab"[(bin(i).count("1") + j) % 2] for i in range(1024)) for j in range(2))
+_COMMON = " ".join(f"u{i}" for i in range(19))
 ODD = [
+    (21, f"{_COMMON} {TWINS[0]}"), (22, f"{_COMMON} {TWINS[1]}"), (23, f"{TWINS[0]} {TWINS[1]} {TWINS[0]}"),
     (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "One "), (6, "one two"), (7, LONG), (8, LONG + " tail"),
     (9, "a " * 60), (10, "a b " * 40), (11, "same words here " * 9), (12, "same words here " * 9), (13, "x\u0000y <|endoftext|> z"),
     (14, "ÉÈ 漢字 текст é ﬁ"), (15, LONG[3000:9000]), (None, "no key"), (None, "no key"), (None, None),

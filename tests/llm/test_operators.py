@@ -381,6 +381,24 @@ def test_arc_lines(version):
     assert warc.iso_date("20240102030405") == "2024-01-02T03:04:05Z" and warc.iso_date("x").startswith("1970")
 
 
+def test_arc_lines_not_written_here():
+    body = b"HTTP/1.1 200 OK\r\n\r\n"
+    one = warc.arc_bytes(1, "20240102030405", [("http://a", 1, b"one")])
+    two = warc.arc_bytes(2, "20240102030405", [("http://b", 2, b"two")])
+    blank_type = b"http://c 0.0.0.0 20240102030405 text/html; charset=utf-8 %d\n" % (len(body) + 3) + body + b"abc\n"
+    no_length = b"http://d 0.0.0.0 20240102030405 text/html -\nlost\n"
+    last = b"http://e 0.0.0.0 20240102030405 text/html 500\n" + body + b"cut"
+    found = list(warc.parse_arc(one + blank_type + no_length + two))
+    assert [f["URL"] for f, _ in found] == ["http://a", "http://c", "http://b"]
+    assert found[1][0]["Content-type"] == "text/html; charset=utf-8"
+    assert [warc.split_http(c)[1] for _, c in found] == [b"one", b"abc", b"two"]
+    assert warc.split_http(list(warc.parse_arc(one + last))[1][1])[1] == b"cut"
+    members = gzip.compress(one) + gzip.compress(two)
+    assert [f["URL"] for f, _ in warc.parse_arc(members)] == ["http://a", "http://b"]
+    assert list(warc.parse_arc(b"")) == list(warc.parse_arc(b"no header line\n")) == []
+    assert [c for _, c in warc.parse_arc(b"http://f 0.0.0.0 20240102030405 text/html 2\nok\n")] == [b"ok"]
+
+
 def test_warc_record_is_whole():
     record = {"url": "u", "date": "2024-01-01T00:00:00Z", "mime": "text/html", "page_id": 1, "payload": b"WARC/1.1\r\n\r\n", "sha1": "00" * 20,
               "record_id": "urn:uuid:1", "target": None, "target_url": None, "target_date": None}
