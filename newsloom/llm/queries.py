@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, decontaminate, exact, id_files, minhash, packing, substring, token_counts, toxicity, warc
+from newsloom.llm import alignment, chat, decontaminate, exact, id_files, minhash, packing, quality, substring
+from newsloom.llm import token_counts, toxicity, warc, whitening
 from newsloom.llm.common import new_folder, table, written
 
 # The vocabulary files stay where they are installed.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -77,6 +79,18 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(written(chat.windows(rows.unionByName(marked)), "windows"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignments(table(spark, folder, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"))
+
+
 # A window of 20 words is later if another one with its words starts before it.
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -143,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_id_files": op8_id_files,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_chat_windows": op10_chat_windows,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_quality_rules": op13_quality_rules,
 }
 CHECKS: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,

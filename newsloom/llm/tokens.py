@@ -45,19 +45,23 @@ def file_digest(path: str) -> str:
 
 
 class Encoder:
-    """`encode(text)` equals the library's ids for it, without special tokens around it."""
+    """`encode(text)` equals the library's ids for it, without special tokens around it.
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    Without `specials`, the strings of special tokens inside a text are plain text.
+    """
+
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, specials: bool = True):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = not specials
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
         kind = settings["pre_tokenizer"]
         self.by_byte = kind["type"] == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not settings["normalizer"]
         split = kind.get("pretokenizers", [{}])[0]
         self.by_word = split.get("type") == "Split" and split["behavior"] == "Removed" and r"\s" in split["pattern"]["Regex"]
-        self.added = [t["content"] for t in settings["added_tokens"]]
+        self.added = [t["content"] for t in settings["added_tokens"]] if specials else []
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.limit = cache_pieces
         names = self.library.get_vocab(with_added_tokens=True)
@@ -260,6 +264,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials: bool = True) -> Encoder:
     """One encoder per worker and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, specials=specials)

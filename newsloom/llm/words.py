@@ -93,12 +93,8 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - low
 
 
-def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
-    """Words of every text of a string column; `fold` takes A-Z as a-z. A null text has none.
-
-    With `trim`, digests are those of the words without up to three marks at each end.
-    """
-    data, offsets = flat_bytes(column)
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start and end byte of each word of all texts, which bytes lie in words)."""
     space = _SPACE[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
@@ -107,6 +103,16 @@ def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
     after = np.concatenate((space[1:], [True])) if len(data) else space
     starts = np.flatnonzero(inside & (before | border[:-1]))
     ends = np.flatnonzero(inside & (after | border[1:])) + 1
+    return starts, ends, inside
+
+
+def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
+    """Words of every text of a string column; `fold` takes A-Z as a-z. A null text has none.
+
+    With `trim`, digests are those of the words without up to three marks at each end.
+    """
+    data, offsets = flat_bytes(column)
+    starts, ends, inside = word_spans(data, offsets)
     packed = data[inside]
     hashes, others = digests(_LOWER[packed] if fold else packed, np.cumsum(ends - starts))
     found = Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes, others)
