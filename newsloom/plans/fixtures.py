@@ -43,6 +43,10 @@ FROM (SELECT doc_id, source, text, doc_id * CAST(floor((SELECT count(*) FROM eve
     "v_items_mixed": """
 SELECT item_id, task_id, CASE WHEN item_id % 2 = 0 THEN replace(replace(replace(replace(title, 'é', 'e\u0301'), 'ü', 'u\u0308'), 'ó', 'o\u0301'), 'ö', 'o\u0308') ELSE title END AS title,
  summary, url, external_id, fetched_at, created_at FROM v_items""",
+    # Titles written without blanks, titles that are copies, and items without a time.
+    "v_items_odd": """
+SELECT item_id, task_id, CASE WHEN item_id % 7 = 3 THEN replace(title, ' ', '') WHEN item_id % 10 = 9 THEN 'Acme 3.1 ships openai/gym' ELSE title END AS title, summary, url, external_id,
+ CASE WHEN item_id % 50 <> 7 THEN fetched_at END AS fetched_at, created_at FROM v_items""",
     "v_interactions": """
 SELECT event_id AS interaction_id, user_id,
  (event_id * 7) % (SELECT count(*) FROM documents) AS item_id,

@@ -114,7 +114,10 @@ def test_similar_titles(spark):
     assert [tuple(r) for r in matching.similar_titles(new, old).collect()] == [(1, 11, 1.0)]
 
 
-def test_members_equal_sequential_choice(spark):
+@pytest.mark.parametrize("part_edges", [500_000, 40])
+def test_members_equal_sequential_choice(spark, monkeypatch, part_edges):
+    """In one part, and in parts that wait for each other."""
+    monkeypatch.setattr(clustering, "PART_EDGES", part_edges)
     rng = random.Random(3)
     edges = {(b, a) for _ in range(260) for a, b in [sorted(rng.sample(range(90), 2))]}
     seeds: set[int] = set()
@@ -146,8 +149,60 @@ def test_clustering_basics(spark):
     assert clusters(again) == got
 
 
+@pytest.mark.parametrize("probe", [256, 2])
+def test_clustering_equals_a_replay(spark, probe):
+    """All items scored against all earlier ones, in order; with small probes in several turns."""
+    rng = random.Random(17)
+    words = ["acme", "orbit", "rocket", "garden", "market", "苹果公司今天发布新款手机", "苹果公司今日发布新款手机", "openai/gym", "v2.1", "the"]
+    rows = [(i, rng.choice(["a", "b", "c", "", None]), " ".join(rng.choices(words, k=rng.randint(0, 4))), rng.choice([None, "", "acme 2024-01-05"]),
+             None if i % 17 == 0 else at(rng.choice([1, 2, 5, 20, 30, 31, 60]) + rng.choice([0, 0.5]))) for i in range(90)]
+    df = spark.createDataFrame(rows, ITEM)
+    got, relations = clustering.cluster(df, probe=probe)
+    y = df.select(F.col("item_id").alias("l"), matching.item_struct().alias("y"))
+    x = df.select(F.col("item_id").alias("r"), matching.thread_struct(F.col("fetched_at"), F.array("task_id")).alias("x"))
+    total = {(r["l"], r["r"]): r["t"] for r in y.crossJoin(x).select("l", "r", matching.thread_score(F.col("y"), F.col("x"))["total"].alias("t")).collect()}
+    times = {r[0]: r[4] for r in rows}
+    seeds, home, near = [], {i: i for i, t in times.items() if t is None}, {}
+    for i in sorted((i for i, t in times.items() if t is not None), key=lambda i: (times[i], i)):
+        known = [s for s in seeds if times[i] - times[s] <= timedelta(hours=24)]
+        best = min(known, key=lambda s: (-total[i, s], times[s], s), default=None)
+        if best is not None and total[i, best] >= 0.35:
+            home[i] = best
+            continue
+        home[i] = i
+        seeds.append(i)
+    for i in seeds:
+        known = [s for s in seeds if (times[s], s) < (times[i], i) and times[i] - times[s] <= timedelta(hours=24)]
+        best = min(known, key=lambda s: (-total[i, s], times[s], s), default=None)
+        if best is not None and total[i, best] >= 0.35 * 0.67:
+            near[i] = best
+    assert clusters(got) == home
+    assert {r["thread_id"]: r["related_id"] for r in relations.collect()} == near
+
+
+def test_titles_without_blanks_and_missing_times(spark):
+    df = spark.createDataFrame([(1, "a", "苹果公司今天发布新款手机", "", at(2)), (2, "b", "苹果公司今日发布新款手机", "", at(1)),
+                                (3, "a", "苹果公司今天发布新款手机", "", None)], ITEM)
+    assert clusters(clustering.cluster(df)[0]) == {1: 1, 2: 1, 3: 3}
+    assert clustering.cluster(df.limit(0))[0].count() == 0
+
+
+def test_fast_score_equals_the_expression(spark):
+    rng = random.Random(8)
+    words = ["acme", "orbit", "rocket", "openai", "v2.1", "2024-01-05", "the", "a/b", "12"]
+    df = spark.createDataFrame([(i, rng.choice(["a", "b", "", None]), " ".join(rng.choices(words, k=rng.randint(0, 5))), rng.choice([None, "python r 33"]),
+                                 None if i == 0 else at(rng.randint(0, 90))) for i in range(25)], ITEM)
+    y = df.select(F.col("item_id").alias("l"), matching.item_struct().alias("y"))
+    x = df.select(F.col("item_id").alias("r"), matching.thread_struct(F.col("fetched_at"), F.array("task_id")).alias("x"))
+    pairs = y.crossJoin(x)
+    want = {(r[0], r[1]): r[2] for r in pairs.select("l", "r", matching.thread_score(F.col("y"), F.col("x"))).collect()}
+    assert {(r[0], r[1]): r[2] for r in matching.score_pairs(pairs, ["l", "r"]).collect()} == want
+    some = {(r[0], r[1]) for r in matching.score_pairs(pairs, ["l", "r"], 0.3).collect()}
+    assert some == {k for k, v in want.items() if v["total"] >= 0.3}
+
+
 def test_copied_title_makes_one_thread_per_window(spark):
-    """Hundreds of copies of one title are folded before any pair is built."""
+    """Hundreds of copies of one title hold one place a slot among the items that are compared."""
     rows = [(i, f"s{i % 9}", "Daily market digest numbers" if i % 3 == 0 else f"story number{i} about topic{i}", "", at(20) + timedelta(seconds=i)) for i in range(900)]
     got = clusters(clustering.cluster(spark.createDataFrame(rows, ITEM))[0])
     assert len(got) == 900
