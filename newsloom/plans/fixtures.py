@@ -75,6 +75,13 @@ FROM v_items""",
     "v_threads": """
 SELECT thread_id, max_by(title, CAST(length(title) AS BIGINT) * 1000000000 - item_id) AS title, min(fetched_at) AS first_seen_at,
  max(fetched_at) AS last_seen_at, count(*) AS item_count FROM v_thread_items GROUP BY thread_id""",
+    # More than 500 threads, all of them seen in the last 24 hours.
+    "v_live_items": """
+SELECT 'r' || CAST(item_id % 509 AS STRING) AS thread_id, item_id, task_id, title,
+ (SELECT max(ts) FROM events) - INTERVAL '1' MINUTE * ((item_id * 7) % 1430) AS fetched_at FROM v_items""",
+    "v_live_threads": """
+SELECT thread_id, max_by(title, CAST(length(title) AS BIGINT) * 1000000000 - item_id) AS title, min(fetched_at) AS first_seen_at,
+ max(fetched_at) AS last_seen_at, count(*) AS item_count FROM v_live_items GROUP BY thread_id""",
     "v_relations": """
 SELECT least(a, b) AS thread_a, greatest(a, b) AS thread_b, max(s) AS similarity,
  min(src) AS source FROM (SELECT 't' || CAST(item_id % 97 AS STRING) AS a, 't' || CAST((item_id * 31 + 5) % 97 AS STRING) AS b,

@@ -217,18 +217,49 @@ def test_catalog_gate(spark):
     assert got == {1: "A", 3: "unknown", 4: "unknown"}
 
 
+THREAD = "thread_id string, title string, platforms array<string>, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz"
+
+
 def test_prefilter_and_decision(spark):
     items = spark.createDataFrame([(1, "a", "rocket launch delayed again", "", NOW)], ITEM)
     rows = [(f"t{i}", f"unrelated subject {i}", ["a"], at(1), at(1 + i / 100)) for i in range(30)] + [("hit", "rocket launch delayed", ["b"], at(2), at(20))]
-    threads = spark.createDataFrame(rows, "thread_id string, title string, platforms array<string>, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz")
+    threads = spark.createDataFrame(rows, THREAD)
     assert matching.candidate_threads(threads, str(NOW), hours=10).count() == 30
-    scored = matching.scored_candidates(items, matching.candidate_threads(threads, str(NOW)))
-    short = scored.first()["scored"]
-    assert len(short) == 20 and short[0]["thread_id"] == "hit"
-    d = matching.decide(scored, 0.35).first()
+    assert matching.candidate_threads(threads, str(NOW), limit=7).count() == 7
+    known = matching.candidate_threads(threads, str(NOW))
+    short = matching.prefilter(items, known).collect()
+    assert [(r["thread_id"], r["overlap"], r["position"]) for r in short] == [("hit", 0.75, 0)]
+    assert matching.prefilter(items, known, keep=0).count() == 0
+    d = matching.decide(items, known, 0.35).first()
     assert (d["action"], d["thread_id"]) == ("join", "hit") and d["match_reason"].startswith("score=0.")
-    none = matching.decide(matching.scored_candidates(items, threads.filter("1 = 0")), 0.35).first()
-    assert none["action"] == "create" and none["related_thread_id"] is None
+    none = matching.decide(items, threads.filter("1 = 0"), 0.35).first()
+    assert none["action"] == "create" and none["related_thread_id"] is None and none["score"] is None
+    with pytest.raises(ValueError, match="time and source alone"):
+        matching.decide(items, known, 0.3)
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.5])
+def test_decision_is_over_all_threads(spark, threshold):
+    """Best of all pairs, most of them without a common word, against every pair scored by the expression."""
+    rng = random.Random(23)
+    words = ["acme", "orbit", "rocket", "garden", "苹果公司今天", "苹果公司今日", "ww", "qq", "zz", "kk"]
+    items = spark.createDataFrame([
+        (i, rng.choice(["a", "b", "c", "", None]), " ".join(rng.choices(words, k=rng.randint(0, 2))), "",
+         None if i % 13 == 0 else at(rng.choice([0, 3, 6, 6.5, 12, 30]))) for i in range(60)], ITEM)
+    threads = spark.createDataFrame([
+        (f"t{i:03}", " ".join(rng.choices(words, k=rng.randint(0, 2))), rng.sample(["a", "b", "c"], rng.randint(0, 3)), at(23.5),
+         at(rng.choice([0, 0.1, 3, 6, 9, 12, 12.25]))) for i in range(80)], THREAD)
+    y = items.select("item_id", matching.item_struct().alias("y"))
+    x = threads.select("thread_id", "last_seen_at", matching.thread_struct(F.col("last_seen_at"), F.col("platforms")).alias("x"))
+    best = {}
+    for r in y.crossJoin(x).select("item_id", "thread_id", "last_seen_at", matching.thread_score(F.col("y"), F.col("x"))["total"].alias("t")).collect():
+        row = (-r["t"], -r["last_seen_at"].timestamp(), r["thread_id"])
+        best[r["item_id"]] = min(best.get(r["item_id"], row), row)
+    got = {r["item_id"]: r for r in matching.decide(items, threads, threshold).collect()}
+    assert got.keys() == best.keys()
+    for i, (total, _, thread) in best.items():
+        want = ("join", thread, None) if -total >= threshold else ("create", None, thread if -total >= threshold * 0.67 else None)
+        assert (got[i]["action"], got[i]["thread_id"], got[i]["related_thread_id"]) == want, i
 
 
 @pytest.mark.parametrize("group_rows", [2_000_000, 20])
@@ -253,8 +284,8 @@ def test_embedding_semantics(spark):
     threads = df.filter("item_id = 1").select(
         F.lit("t").alias("thread_id"), "title", F.array("task_id").alias("platforms"), F.col("fetched_at").alias("first_seen_at"),
         F.col("fetched_at").alias("last_seen_at"), "vec")
-    scored = matching.scored_candidates(df, threads, semantic="embedding", embedding="vec")
-    got = {r["item_id"]: r["scored"][0]["score"] for r in scored.collect()}
+    scored = matching.scored_threads(df, threads, semantic="embedding", embedding="vec")
+    got = {r["item_id"]: r["score"] for r in scored.collect()}
     assert got[1]["semantic"] == 1.0 and got[2]["semantic"] == 0.0
     rows, _ = clustering.cluster(df, semantic="embedding", embedding="vec", threshold=0.9)
     assert len(clusters(rows)) == 2
