@@ -289,3 +289,24 @@ def test_embedding_semantics(spark):
     assert got[1]["semantic"] == 1.0 and got[2]["semantic"] == 0.0
     rows, _ = clustering.cluster(df, semantic="embedding", embedding="vec", threshold=0.9)
     assert len(clusters(rows)) == 2
+
+
+def test_clustering_stream_keeps_late_items_aside(spark, tmp_path):
+    from newsloom.streaming import threads as stream
+    schema = "item_id bigint, task_id string, title string, summary string, fetched_at timestamp_ntz"
+    tasks = spark.createDataFrame([("a", "A", "active", "discussion", None), ("z", "Z", "active", "catalog", None)],
+                                  "task_id string, name string, status string, content_kind string, deleted_at timestamp_ntz")
+    arrivals = [
+        [(1, "a", "Acme launches orbital rocket", "", at(10)), (2, "z", "Acme launches orbital rocket", "", at(9)), (3, "a", "Gardening", "", None)],
+        [(4, "b", "Acme launches orbital rocket today", "", at(8)), (5, "b", "Acme launches orbital rocket", "", at(13)),
+         (6, "b", "Acme launches orbital rocket", "", at(10.5))]]
+    store = stream.ThreadStore(spark, f"{tmp_path}/threads")
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        stream.cluster_stream(source, tasks, store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert {r["item_id"]: r["thread_id"] for r in store.members.read().collect()} == {1: 1, 3: 3, 4: 1, 6: 6}
+    assert [r["item_id"] for r in store.late.read().collect()] == [5]
+    rows = {r["thread_id"]: r for r in store.current().collect()}
+    assert rows[1]["title"] == "Acme launches orbital rocket today" and rows[1]["item_count"] == 2
+    assert rows[1]["platforms"] == ["A", "unknown"] and rows[1]["last_seen_at"] == at(8)
