@@ -106,6 +106,12 @@ FROM documents GROUP BY lang
 UNION ALL SELECT * FROM (VALUES ('the', 'custom', 1.0e0, CAST(1 AS BIGINT)), ('la', 'custom', 0.5e0, CAST(2 AS BIGINT)), ('der', 'ai', 2.0e0, CAST(3 AS BIGINT))) t(topic, category, weight, seq)""",
 }
 
+# Topics of many readers: first words of the titles they starred, and for some a frequent word.
+VIEWS["v_reader_topics"] = """
+SELECT user_id, topic, 'custom' AS category, 0.5e0 + CAST(max(seq) % 16 AS DOUBLE) / 10 AS weight, max(seq) AS seq
+FROM (SELECT n.user_id, split_part(i.title, ' ', 1) AS topic, n.interaction_id AS seq FROM v_interactions n JOIN v_items i ON i.item_id = n.item_id WHERE n.interaction_type = 'star'
+ UNION ALL SELECT user_id, 'The' AS topic, min(interaction_id) AS seq FROM v_interactions WHERE user_id % 3 = 0 GROUP BY user_id) x WHERE trim(topic) <> '' GROUP BY user_id, topic"""
+
 _NAMES = "|".join([*VIEWS, *BASE_TABLES])
 _USE = re.compile(rf"\b(FROM|JOIN)\s+({_NAMES})\b", re.IGNORECASE)
 

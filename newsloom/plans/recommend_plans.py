@@ -16,13 +16,20 @@ NOW = f"TIMESTAMP '{AS_OF}'"
 TEXT_SQL = "title || ' ' || summary"
 
 
-@query("r01_topic_score", check=f"""WITH k AS (SELECT item_id, {TEXT_SQL} AS txt, {token_set_sql(TEXT_SQL)} AS toks FROM v_items),
- x AS (SELECT item_id, any_value(len(toks)) AS n, sum(CASE WHEN contains(lower(txt), lower(topic)) THEN weight WHEN len(list_intersect({token_set_sql('topic')}, toks)) > 0 THEN weight * 0.5 ELSE 0 END) / sum(weight) AS s FROM k CROSS JOIN v_topics GROUP BY item_id)
-SELECT item_id, round(CASE WHEN n = 0 THEN 0 ELSE s END, 6) AS topic_score FROM x""")
+def hits_sql(items: str) -> str:
+    """Matches of every item with every distinct topic, and their sums per reader."""
+    return f"""tw AS MATERIALIZED (SELECT DISTINCT topic, lower(topic) AS low, {token_set_sql('topic')} AS ttoks FROM v_reader_topics),
+ tk AS MATERIALIZED (SELECT item_id, lower({TEXT_SQL}) AS txt, lower(title) AS tit, lower(summary) AS sm, {token_set_sql(TEXT_SQL)} AS toks FROM {items}),
+ th AS MATERIALIZED (SELECT item_id, topic, CASE WHEN len(toks) = 0 THEN 0 WHEN contains(txt, low) THEN 1.0 WHEN list_has_any(ttoks, toks) THEN 0.5 ELSE 0 END AS strength,
+  contains(tit, trim(low)) OR contains(sm, trim(low)) AS named FROM tk CROSS JOIN tw),
+ tt AS (SELECT user_id, sum(weight) AS total FROM v_reader_topics GROUP BY user_id),
+ tp AS (SELECT user_id, item_id, sum(weight * strength) / any_value(total) AS s, arg_min(topic, {{'w': -weight, 't': topic}}) FILTER (WHERE named) AS matched_topic
+  FROM th JOIN v_reader_topics USING (topic) JOIN tt USING (user_id) WHERE strength > 0 OR named GROUP BY user_id, item_id)"""
+
+
+@query("r01_topic_score", check=f"WITH {hits_sql('v_items')} SELECT user_id, item_id, round(s, 6) AS topic_score, matched_topic FROM tp")
 def r01(t: Tables) -> DataFrame:
-    rows = t.v_items.withColumn("_topics", recommend.topic_profile(t.v_topics).scalar())
-    text = F.concat_ws(" ", "title", "summary")
-    return rows.select("item_id", F.round(recommend.topic_score(text, F.col("_topics")), 6).alias("topic_score"))
+    return recommend.topic_scores(t.v_items, t.v_reader_topics).withColumn("topic_score", F.round("topic_score", 6))
 
 
 ENGAGED_SQL = """en AS (SELECT item_id, count(*) AS total_interactions, count(*) FILTER (WHERE interaction_type IN ('view', 'impression')) AS view_count, count(*) FILTER (WHERE interaction_type = 'dwell') AS dwell_count,
@@ -78,73 +85,60 @@ def r05(t: Tables) -> DataFrame:
     return recommend.fold_affinity(deltas, by=["user_id"]).withColumn("affinity_score", F.round(F.col("affinity_score") + 1e-9, 6))
 
 
-# One reader: affinities over all interactions. The nudge keeps exact decimal halves from
-# rounding differently in the two engines.
+# The nudge keeps exact decimal halves from rounding differently in the two engines.
 NUDGE = 1e-12
-AFFINITY_SQL = f"{DELTA_SQL}, {fold_sql('affinity_type, affinity_value')}"
+READER_SQL = f"""{DELTA_SQL}, {fold_sql('user_id, affinity_type, affinity_value')}, a9 AS MATERIALIZED (SELECT * REPLACE (round(affinity_score + 1e-12, 9) AS affinity_score) FROM af),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity_score DESC, affinity_type, affinity_value) AS rank FROM a9)"""
 
 
-def affinity(t: Tables) -> DataFrame:
-    folded = recommend.fold_affinity(recommend.affinity_deltas(t.v_interactions, t.v_items, t.v_tasks))
+def affinity_by_reader(t: Tables) -> DataFrame:
+    folded = recommend.fold_affinity(recommend.affinity_deltas(t.v_interactions, t.v_items, t.v_tasks), by=["user_id"])
     return folded.withColumn("affinity_score", F.round(F.col("affinity_score") + NUDGE, 9))
 
 
-def rounded_affinity_sql(factor: str = "1") -> str:
-    return f"{AFFINITY_SQL}, a9 AS (SELECT * REPLACE (round(affinity_score + 1e-12, 9) * {factor} AS affinity_score) FROM af)"
-
+def component_sql(factor: int) -> str:
+    ranked = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity_score DESC, affinity_value) AS r FROM a9 WHERE affinity_type = "
+    return f"""cm AS MATERIALIZED (SELECT user_id, task_id, sum(part) AS affinity_score FROM (
+  SELECT user_id, affinity_value AS task_id, 0.6 * affinity_score * {factor} AS part FROM ({ranked} 'task') WHERE r <= 50 AND affinity_score * {factor} > 0.3
+  UNION ALL SELECT user_id, k.task_id, 0.4 * affinity_score * {factor} FROM ({ranked} 'platform') p JOIN v_tasks k ON k.name = p.affinity_value WHERE r <= 20) GROUP BY user_id, task_id)"""
 
-COMPONENT_SQL = """ta AS (SELECT * FROM (SELECT * FROM a9 WHERE affinity_type = 'task' ORDER BY affinity_score DESC, affinity_value LIMIT 50) WHERE affinity_score > 0.3),
- pa AS (SELECT * FROM a9 WHERE affinity_type = 'platform' ORDER BY affinity_score DESC, affinity_value LIMIT 20)"""
 
-
-@query("r07_affinity_component", check=f"""WITH RECURSIVE {rounded_affinity_sql('5')}, {COMPONENT_SQL}
-SELECT i.item_id, k.name AS task_name, round(0.6 * coalesce(ta.affinity_score, 0) + 0.4 * coalesce(pa.affinity_score, 0), 6) AS affinity_score
-FROM v_items i LEFT JOIN v_tasks k USING (task_id) LEFT JOIN ta ON ta.affinity_value = i.task_id LEFT JOIN pa ON pa.affinity_value = k.name""")
+# Five times stronger than the deltas make them, so that the gate of tasks lets some through.
+@query("r07_affinity_component", check=f"WITH RECURSIVE {READER_SQL}, {component_sql(5)} SELECT user_id, task_id, round(affinity_score, 6) AS affinity_score FROM cm")
 def r07(t: Tables) -> DataFrame:
-    strong = affinity(t).withColumn("affinity_score", F.col("affinity_score") * 5)
-    return recommend.affinity_component(t.v_items, t.v_tasks, strong).select(
-        "item_id", "task_name", F.round("affinity_score", 6).alias("affinity_score"))
+    strong = affinity_by_reader(t).withColumn("affinity_score", F.col("affinity_score") * 5)
+    return recommend.affinity_component(t.v_tasks, strong).withColumn("affinity_score", F.round("affinity_score", 6))
 
 
-FACTOR_SQL = f"""{rounded_affinity_sql()}, {COMPONENT_SQL}, {ENGAGED_SQL},
- pool AS (SELECT * FROM (SELECT * FROM v_items WHERE created_at >= {NOW} - INTERVAL 7 DAY ORDER BY created_at DESC, item_id DESC LIMIT 500) WHERE NOT is_read),
- tk AS (SELECT pool.*, {TEXT_SQL} AS txt, {token_set_sql(TEXT_SQL)} AS toks FROM pool),
- tp AS (SELECT item_id, any_value(len(toks)) AS n, sum(CASE WHEN contains(lower(txt), lower(topic)) THEN weight WHEN len(list_intersect({token_set_sql('topic')}, toks)) > 0 THEN weight * 0.5 ELSE 0 END) / sum(weight) AS s,
-  arg_min(topic, {{'w': -weight, 't': topic}}) FILTER (WHERE contains(lower(title), lower(topic)) OR contains(lower(summary), lower(topic))) AS matched_topic FROM tk CROSS JOIN v_topics GROUP BY item_id),
- fx AS (SELECT p.item_id, p.created_at, k.name AS task_name, matched_topic, CASE WHEN tp.n = 0 THEN 0 ELSE tp.s END AS topic_score, 0.6 * coalesce(ta.affinity_score, 0) + 0.4 * coalesce(pa.affinity_score, 0) AS affinity_score,
+FACTOR_SQL = f"""{READER_SQL}, {component_sql(1)}, {ENGAGED_SQL.replace("en AS (SELECT item_id,", "en AS (SELECT user_id, item_id,").replace("GROUP BY item_id", "GROUP BY user_id, item_id")},
+ pool AS MATERIALIZED (SELECT * FROM (SELECT * FROM v_items WHERE created_at >= {NOW} - INTERVAL 7 DAY ORDER BY created_at DESC, item_id DESC LIMIT 500) WHERE NOT is_read),
+ {hits_sql('pool')}, rd AS (SELECT user_id FROM a9 UNION SELECT user_id FROM v_reader_topics),
+ fx AS MATERIALIZED (SELECT rd.user_id, p.item_id, p.created_at, k.name AS task_name, matched_topic, coalesce(tp.s, 0) AS topic_score, coalesce(cm.affinity_score, 0) AS affinity_score,
   {RECENCY_SQL} AS recency_score, CASE WHEN en.view_count > 0 THEN (least(1.0, en.view_count / 3) + least(1.0, en.avg_dwell_seconds / 30)) / 2 ELSE 0 END AS engagement_score
-  FROM pool p LEFT JOIN v_tasks k USING (task_id) LEFT JOIN tp USING (item_id) LEFT JOIN en USING (item_id) LEFT JOIN ta ON ta.affinity_value = p.task_id LEFT JOIN pa ON pa.affinity_value = k.name)"""
-SCORED_SQL = """sc AS (SELECT *, least(1.0, 0.4 * topic_score + 0.3 * affinity_score + 0.2 * recency_score + 0.1 * engagement_score) AS score FROM fx)"""
+  FROM rd CROSS JOIN pool p LEFT JOIN v_tasks k USING (task_id) LEFT JOIN tp ON tp.user_id = rd.user_id AND tp.item_id = p.item_id
+  LEFT JOIN en ON en.user_id = rd.user_id AND en.item_id = p.item_id LEFT JOIN cm ON cm.user_id = rd.user_id AND cm.task_id = p.task_id)"""
+SCORED_SQL = """sc AS (SELECT *, round(least(1.0, 0.4 * topic_score + 0.3 * affinity_score + 0.2 * recency_score + 0.1 * engagement_score), 9) AS score FROM fx)"""
 
 
 def factors(t: Tables) -> DataFrame:
-    return recommend.score_factors(t.v_items, t.v_tasks, t.v_topics, affinity(t), t.v_interactions, AS_OF)
+    return recommend.score_factors(t.v_items, t.v_tasks, t.v_reader_topics, affinity_by_reader(t), t.v_interactions, AS_OF)
 
 
 @query("r08_recommendations", check=f"""WITH RECURSIVE {FACTOR_SQL}, {SCORED_SQL}
-SELECT item_id, task_name, round(topic_score, 4) AS topic_score, round(affinity_score, 4) AS affinity_score, round(recency_score, 4) AS recency_score, round(engagement_score, 4) AS engagement_score, round(score, 4) AS recommendation_score
-FROM sc WHERE score >= 0.1 ORDER BY score DESC, created_at DESC, item_id DESC LIMIT 20""")
+SELECT user_id, item_id, task_name, round(topic_score, 4) AS topic_score, round(affinity_score, 4) AS affinity_score, round(recency_score, 4) AS recency_score, round(engagement_score, 4) AS engagement_score, round(score, 4) AS recommendation_score
+FROM sc WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, created_at DESC, item_id DESC) <= 20""")
 def r08(t: Tables) -> DataFrame:
     top = recommend.recommend(factors(t))
-    return top.select("item_id", "task_name", *[F.round(f, 4).alias(f) for f in recommend.FACTORS], "recommendation_score")
+    return top.select("user_id", "item_id", "task_name", *[F.round(f, 4).alias(f) for f in recommend.FACTORS], "recommendation_score")
 
 
 @query("r09_reasons", check=f"""WITH RECURSIVE {FACTOR_SQL}, {SCORED_SQL}
-SELECT item_id, array_to_string(list_filter([CASE WHEN topic_score > 0.3 THEN CASE WHEN matched_topic IS NULL THEN '{recommend.LABEL_ANY_TOPIC}' ELSE '匹配你的兴趣「' || matched_topic || '」' END END,
+SELECT user_id, item_id, array_to_string(list_filter([CASE WHEN topic_score > 0.3 THEN CASE WHEN matched_topic IS NULL THEN '{recommend.LABEL_ANY_TOPIC}' ELSE '匹配你的兴趣「' || matched_topic || '」' END END,
  CASE WHEN affinity_score > 0.05 THEN '{recommend.LABEL_AFFINITY}' || task_name END, CASE WHEN recency_score > 0.8 THEN '{recommend.LABEL_RECENCY}' END, CASE WHEN engagement_score > 0.5 THEN '{recommend.LABEL_ENGAGEMENT}' END], lambda r: r IS NOT NULL), '; ') AS reasons
 FROM sc WHERE score >= 0.1""")
 def r09(t: Tables) -> DataFrame:
     scored = recommend.score_candidates(factors(t))
-    return scored.select("item_id", F.array_join(F.transform("reasons", lambda r: r["label"]), "; ").alias("reasons"))
-
-
-def affinity_by_reader(t: Tables) -> DataFrame:
-    folded = recommend.fold_affinity(recommend.affinity_deltas(t.v_interactions, t.v_items, t.v_tasks), by=["user_id"])
-    return folded.withColumn("affinity_score", F.round(F.col("affinity_score") + NUDGE, 9))
-
-
-READER_SQL = f"""{DELTA_SQL}, {fold_sql('user_id, affinity_type, affinity_value')}, a9 AS (SELECT * REPLACE (round(affinity_score + 1e-12, 9) AS affinity_score) FROM af),
- rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity_score DESC, affinity_type, affinity_value) AS rank FROM a9)"""
+    return scored.select("user_id", "item_id", F.array_join(F.transform("reasons", lambda r: r["label"]), "; ").alias("reasons"))
 
 
 @query("r10_reading_profile", check=f"""WITH RECURSIVE {READER_SQL}, g AS (SELECT user_id, CASE WHEN affinity_type IN ('task', 'platform') THEN 'task' ELSE affinity_type END AS display_type,
@@ -184,12 +178,12 @@ def r13_filter(t: Tables) -> DataFrame:
     return recommend.without_rejected(t.v_items, feedback(t)).select("item_id")
 
 
-@query("r14_label_sample", check=f"""WITH RECURSIVE {FACTOR_SQL}, {SCORED_SQL}, u AS (SELECT item_id, created_at, round(score, 4) AS recommendation_score FROM sc WHERE score >= 0.1 AND item_id NOT IN (SELECT item_id FROM v_labels)),
- k AS (SELECT *, row_number() OVER (ORDER BY recommendation_score DESC, created_at DESC, item_id DESC) - 1 AS r, greatest(1, CAST(floor(count(*) OVER () / 20) AS BIGINT)) AS step FROM u)
-SELECT item_id, recommendation_score, CAST(r // step AS INT) AS sample_position FROM k WHERE r % step = 0 AND r // step < 20""")
+@query("r14_label_sample", check=f"""WITH RECURSIVE {FACTOR_SQL}, {SCORED_SQL}, u AS (SELECT user_id, item_id, created_at, round(score, 4) AS recommendation_score FROM sc WHERE score >= 0.1 AND item_id NOT IN (SELECT item_id FROM v_labels)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recommendation_score DESC, created_at DESC, item_id DESC) - 1 AS r, greatest(1, CAST(floor(count(*) OVER (PARTITION BY user_id) / 20) AS BIGINT)) AS step FROM u)
+SELECT user_id, item_id, recommendation_score, CAST(r // step AS INT) AS sample_position FROM k WHERE r % step = 0 AND r // step < 20""")
 def r14(t: Tables) -> DataFrame:
     scored = recommend.score_candidates(factors(t))
-    return recommend.sample_for_labeling(scored, t.v_labels).select("item_id", "recommendation_score", "sample_position")
+    return recommend.sample_for_labeling(scored, t.v_labels).select("user_id", "item_id", "recommendation_score", "sample_position")
 
 
 LABEL_LOG_SQL = """SELECT item_id, CASE WHEN interaction_type = 'star' THEN 1 ELSE 0 END AS label, CASE WHEN interaction_id % 3 = 0 THEN NULL ELSE CAST(interaction_id % 101 AS DOUBLE) / 100 END AS sampled_score,
@@ -262,8 +256,8 @@ def r21(t: Tables) -> DataFrame:
 MODES_SQL = "md AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {', '.join(map(str, w))})" for m, w in recommend.MODES.items()) + ") v(mode, wt, wa, wr, we))"
 
 
-@query("r22_compare_modes", check=f"""WITH RECURSIVE {FACTOR_SQL}, {MODES_SQL}, s AS (SELECT mode, item_id, round(least(1.0, wt * topic_score + 0.25 * affinity_score + wr * recency_score + we * engagement_score), 6) AS score FROM fx CROSS JOIN md)
-SELECT mode, item_id, score, CAST(row_number() OVER (PARTITION BY mode ORDER BY score DESC, item_id DESC) AS INT) AS position FROM s""")
+@query("r22_compare_modes", check=f"""WITH RECURSIVE {FACTOR_SQL}, {MODES_SQL}, s AS (SELECT user_id, mode, item_id, round(least(1.0, wt * topic_score + 0.25 * affinity_score + wr * recency_score + we * engagement_score), 6) AS score FROM fx CROSS JOIN md)
+SELECT user_id, mode, item_id, score, CAST(row_number() OVER (PARTITION BY user_id, mode ORDER BY score DESC, item_id DESC) AS INT) AS position FROM s""")
 def r22(t: Tables) -> DataFrame:
     return recommend.compare_modes(factors(t), {"affinity_weight": 0.25})
 
@@ -277,9 +271,11 @@ def r22_mode(t: Tables) -> DataFrame:
     return recommend.infer_mode(t.sql(CONFIGS_SQL)).select("user_id", "preference_mode")
 
 
-TOPIC_LOG_SQL = "SELECT lang AS topic, CASE WHEN doc_id % 2 = 0 THEN 'custom' ELSE 'ai' END AS category, 0.5e0 + CAST(n_chars % 16 AS DOUBLE) / 10 AS weight, doc_id AS seq FROM documents"
+TOPIC_LOG_SQL = """SELECT n.user_id, i.task_id AS topic, CASE WHEN n.interaction_id % 2 = 0 THEN 'custom' ELSE 'ai' END AS category, 0.5e0 + CAST(n.interaction_id % 16 AS DOUBLE) / 10 AS weight, n.interaction_id AS seq
+ FROM v_interactions n JOIN v_items i ON i.item_id = n.item_id"""
 
 
-@query("r23_user_topics", check=f"WITH l AS ({TOPIC_LOG_SQL}) SELECT topic, category, round(weight, 6) AS weight, seq FROM l QUALIFY row_number() OVER (PARTITION BY topic ORDER BY seq DESC) = 1")
+@query("r23_user_topics", check=f"""WITH l AS ({TOPIC_LOG_SQL}), r AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY user_id, topic ORDER BY seq DESC) = 1)
+SELECT user_id, topic, category, round(weight, 6) AS weight, seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, seq DESC) AS INT) AS position FROM r""")
 def r23(t: Tables) -> DataFrame:
     return recommend.topics_by_weight(t.sql(TOPIC_LOG_SQL)).withColumn("weight", F.round("weight", 6))

@@ -135,10 +135,13 @@ def test_validation_default_field_quirk(spark):
 
 
 def test_topics_and_reasons(spark):
-    topics = spark.createDataFrame([("Rust", 2.0), ("machine learning", 1.0)], "topic string, weight double")
-    df = spark.createDataFrame([("Rust rules",), ("learning things",), ("nope",), ("the",)], "t string").withColumn("p", recommend.topic_profile(topics).scalar())
-    got = [r[0] for r in df.select(recommend.topic_score(F.col("t"), F.col("p"))).collect()]
-    assert got == pytest.approx([2 / 3, 0.5 / 3, 0.0, 0.0])
+    topics = spark.createDataFrame([(1, "Rust", 2.0), (1, "machine learning", 1.0), (2, "o", 1.0), (2, " ", 3.0), (3, "no", 1.0)],
+                                   "user_id int, topic string, weight double")
+    items = spark.createDataFrame([(1, "Rust rules", None), (2, "learning things", ""), (3, "nope", "a trustful one"), (4, "the", "")],
+                                  "item_id int, title string, summary string")
+    got = {(r["user_id"], r["item_id"]): (round(r["topic_score"], 6), r["matched_topic"]) for r in recommend.topic_scores(items, topics).collect()}
+    assert got == {(1, 1): (round(2 / 3, 6), "Rust"), (1, 2): (round(0.5 / 3, 6), None), (1, 3): (round(2 / 3, 6), "Rust"),
+                   (2, 3): (0.25, "o"), (3, 3): (1.0, "no")}
     rows = spark.createDataFrame([("Rust", "Src", 0.5, 0.06, 1.0, 0.6)], "matched_topic string, task_name string, topic_score double, affinity_score double, recency_score double, engagement_score double")
     kinds = [r["type"] for r in recommend.with_reasons(rows).first()["reasons"]]
     assert kinds == ["topic", "affinity", "recency", "engagement"]
