@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.threads.relations import canonical
+from newsloom.operators.threads.rollup import roll_up
 from newsloom.session import cut_lineage
 
 UNKNOWN_SIMILARITY = 0.5
@@ -31,12 +32,15 @@ def resolve_merges(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 def merge_threads(members: DataFrame, relations: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, relations) after merging. Moved items get similarity 1; an item already in the
-    target keeps its row. Redirected pairs keep the stronger similarity; self pairs vanish."""
+    target keeps its row, of several moved ones the row of the smallest thread. Members keep their other
+    columns. Redirected pairs keep the stronger similarity; self pairs vanish."""
     target = resolve_merges(merges)
+    moves = F.col("target_id").isNotNull()
+    others = [c for c in members.columns if c not in ("thread_id", "item_id", "similarity")]
     rows = members.join(target, "thread_id", "left").select(
-        F.coalesce("target_id", "thread_id").alias("thread_id"), "item_id", F.col("target_id").isNotNull().alias("moved"),
-        F.when(F.col("target_id").isNotNull(), 1.0).otherwise(F.col("similarity")).alias("similarity"))
-    kept = rows.groupBy("thread_id", "item_id").agg(F.min_by("similarity", "moved").alias("similarity"))
+        F.coalesce("target_id", "thread_id").alias("thread_id"), "item_id", F.struct(moves.alias("m"), F.col("thread_id").alias("t")).alias("moved"),
+        F.struct(F.when(moves, 1.0).otherwise(F.col("similarity")).alias("similarity"), *others).alias("row"))
+    kept = rows.groupBy("thread_id", "item_id").agg(F.min_by("row", "moved").alias("row")).select("thread_id", "item_id", "row.*")
 
     to_a = target.select(F.col("thread_id").alias("thread_a"), F.col("target_id").alias("_to_a"))
     to_b = target.select(F.col("thread_id").alias("thread_b"), F.col("target_id").alias("_to_b"))
@@ -55,7 +59,7 @@ def split_threads(members: DataFrame, relations: DataFrame, moves: DataFrame) ->
 
     `moves`: thread_id, item_id, new_thread_id, new_title (NULL: title of the first moved item).
     A split that would empty its thread is refused. The new pair's similarity is the mean
-    similarity the moved items had.
+    similarity the moved items had. Members keep their other columns.
     """
     wanted = members.join(moves, ["thread_id", "item_id"]).select(
         "thread_id", "item_id", "new_thread_id", "new_title", "title", "similarity")
@@ -63,10 +67,10 @@ def split_threads(members: DataFrame, relations: DataFrame, moves: DataFrame) ->
     asked = wanted.groupBy("thread_id").agg(F.count("*").alias("n_moved"))
     allowed = sizes.join(asked, "thread_id").filter("n_moved < n_all").select("thread_id")
     moved = wanted.join(allowed, "thread_id", "left_semi")
-    stay = members.join(moved.select("thread_id", "item_id"), ["thread_id", "item_id"], "left_anti") \
-        .select("thread_id", "item_id", "similarity")
-    members_after = stay.unionByName(
-        moved.select(F.col("new_thread_id").alias("thread_id"), "item_id", F.lit(1.0).alias("similarity")))
+    goes = moved.select("thread_id", "item_id", "new_thread_id").distinct()
+    members_after = members.join(goes, ["thread_id", "item_id"], "left").withColumns({
+        "similarity": F.when(F.col("new_thread_id").isNotNull(), 1.0).otherwise(F.col("similarity")),
+        "thread_id": F.coalesce("new_thread_id", "thread_id")}).drop("new_thread_id")
     born = moved.groupBy("thread_id", "new_thread_id").agg(
         F.avg("similarity").alias("mean"), F.max("new_title").alias("given"), F.min_by("title", "item_id").alias("first"))
     links = canonical(born.select(
@@ -75,3 +79,15 @@ def split_threads(members: DataFrame, relations: DataFrame, moves: DataFrame) ->
     fresh = links.join(relations.select("thread_a", "thread_b"), ["thread_a", "thread_b"], "left_anti")
     titles = born.select(F.col("new_thread_id").alias("thread_id"), F.coalesce("given", "first").alias("title"))
     return members_after, relations.unionByName(fresh.select(*relations.columns)), titles
+
+
+def rebuilt_threads(members: DataFrame, names: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """Thread rows of the members that a merge or a split left; threads without members are gone.
+
+    `titles` (thread_id, title) are those of new threads, which they keep until they are rolled up again.
+    """
+    rows = roll_up(members, names)
+    if titles is None:
+        return rows
+    given = titles.select("thread_id", F.col("title").alias("_given"))
+    return rows.join(given, "thread_id", "left").withColumn("title", F.coalesce("_given", "title")).drop("_given").select(*rows.columns)

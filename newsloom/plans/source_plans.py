@@ -73,10 +73,6 @@ def s05(t: Tables) -> DataFrame:
     return links.groupBy("page_id", F.col("link").alias("href")).agg(F.count("*").alias("n"))
 
 
-# No SQL check: selectors need an element tree; equal to the pattern version by test.
-@query("s05_html_selected_items")
-def s05_selected(t: Tables) -> DataFrame:
-    return html_pages.selected_items(t.pages, "li", "a", "a").select("page_id", "raw_count", "position", "title", "link")
 
 
 def hits_sql(selector: str) -> str:
@@ -90,16 +86,11 @@ def hits_sql(selector: str) -> str:
 @query("s06_page_profile", check=rf"""WITH k AS (SELECT page_id, url, html, [{", ".join(hits_sql(s) for s in html_pages.LIST_SELECTORS)}] AS hits FROM pages)
 SELECT page_id, url, CASE WHEN regexp_matches(html, '(?i)<(rss|feed|channel)\b') THEN 'rss' WHEN regexp_matches(trim(html), '^[{{\[]') THEN 'json' ELSE 'html' END AS kind,
  {strip_sql("replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')")} AS title,
+ replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<meta\s+name="description"\s+content="([^"]*)"', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS description,
  array_to_string(hits, ',') AS hits, coalesce(list_filter({list(html_pages.LIST_SELECTORS)}, lambda s, i: hits[i] >= 3)[1], '') AS list_selector,
  CAST(len(regexp_extract_all(html, '(?i)<a\s[^>]*href=')) AS INT) AS links FROM k""")
 def s06(t: Tables) -> DataFrame:
-    return html_pages.page_profile(t.pages).drop("description").withColumn("hits", F.array_join("hits", ","))
-
-
-# No SQL check: guessed selectors need an element tree.
-@query("s06_page_structure")
-def s06_structure(t: Tables) -> DataFrame:
-    return html_pages.page_structure(t.pages)
+    return html_pages.page_profile(t.pages).withColumn("hits", F.array_join("hits", ","))
 
 
 @query("s07_json_shape", check="""SELECT task_id, 'data.items' AS list_path, 'title' AS title_field, 'url' AS link_field, 'summary' AS summary_field,

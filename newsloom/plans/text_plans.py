@@ -297,21 +297,6 @@ def f25(t: Tables) -> DataFrame:
     return t.v_items.select("item_id", times.rfc822(F.col("fetched_at")).alias("published"))
 
 
-@query("f26_item_features", check=rf"""SELECT item_id, array_to_string({token_set_sql('title')}, ' ') AS title_tokens,
- array_to_string({names_sql(JOINED, 'company')}, '|') AS companies, array_to_string({names_sql(JOINED, 'ai_model')}, '|') AS ai_models,
- CASE WHEN len(regexp_extract_all(title || ' ' || summary, '[\x{{4e00}}-\x{{9fff}}]'))::DOUBLE / length(regexp_replace(title || ' ' || summary, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) > 0.3 THEN 'zh' ELSE 'en' END AS language,
- {rules_sql(JOINED, labels.CONTENT_TYPES, 'article')} AS content_type,
- CASE WHEN {norm_sql('title')} = '' THEN '' ELSE sha256({norm_sql('title')})[1:16] END AS fingerprint, task_id, url, fetched_at AS published_at FROM v_items_mixed""")
-def f26(t: Tables) -> DataFrame:
-    made = features.item_features(t.v_items_mixed)
-    return made.select(
-        "item_id", F.array_join(F.sort_array("features.title_tokens"), " ").alias("title_tokens"),
-        F.array_join("features.entities.company", "|").alias("companies"),
-        F.array_join("features.entities.ai_model", "|").alias("ai_models"),
-        "features.language", "features.content_type", "features.fingerprint",
-        "task_id", "url", F.col("fetched_at").alias("published_at"))
-
-
 # URLs ---------------------------------------------------------------------------------
 
 def _url_sql(col: str) -> str:
@@ -345,8 +330,12 @@ def d03(t: Tables) -> DataFrame:
 
 
 @query("d04_valid_url", check="""SELECT page_id, regexp_matches(url, '^(?i:https?)://[^/?#]+') AS page_ok, link,
- regexp_matches(link, '^(?i:https?)://[^/?#]+') AS link_ok FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages)""")
+ coalesce(regexp_matches(link, '^(?i:https?)://[^/?#]+'), false) AS link_ok FROM (SELECT p.page_id, url, link FROM pages p LEFT JOIN (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) l USING (page_id)
+ UNION ALL SELECT -1 - page_id, url, NULL FROM pages)""")
 def d04(t: Tables) -> DataFrame:
-    links = t.pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+    # Each page also once without its html: pages without links are rows too.
+    bare = t.pages.select((-1 - F.col("page_id")).alias("page_id"), "url", F.lit(None).cast("string").alias("html"))
+    links = t.pages.select("page_id", "url", "html").unionByName(bare).select(
+        "page_id", "url", F.explode_outer(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
     return links.select(
         "page_id", urls.is_valid_url(F.col("url")).alias("page_ok"), "link", urls.is_valid_url(F.col("link")).alias("link_ok"))

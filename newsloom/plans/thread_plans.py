@@ -49,7 +49,22 @@ CHAIN_SQL = f"""m AS ({MERGES_SQL}), walk AS (SELECT thread_id, target_id, 1 AS
 @query("t10_merge_members", check=f"""WITH RECURSIVE {CHAIN_SQL}
 SELECT coalesce(target_id, i.thread_id) AS thread_id, item_id, CASE WHEN target_id IS NULL THEN similarity ELSE 1.0 END::DOUBLE AS similarity FROM v_thread_items i LEFT JOIN fin USING (thread_id)""")
 def t10_members(t: Tables) -> DataFrame:
-    return edit.merge_threads(t.v_thread_items, t.v_relations, t.sql(MERGES_SQL))[0]
+    return edit.merge_threads(t.v_thread_items, t.v_relations, t.sql(MERGES_SQL))[0].select("thread_id", "item_id", "similarity")
+
+
+# Thread rows after an edit, from the members it left.
+REBUILT_SQL = """SELECT thread_id, count(*) AS item_count, array_to_string(list_sort(list(DISTINCT task_id)), ', ') AS platforms,
+ arg_max(title, {'l': length(title), 't': -epoch_us(fetched_at), 'i': -item_id}) AS title, min(fetched_at) AS first_seen_at, max(fetched_at) AS last_seen_at FROM mb GROUP BY thread_id"""
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("thread_id", "item_count", F.array_join("platforms", ", ").alias("platforms"), "title", "first_seen_at", "last_seen_at")
+
+
+@query("t10_merged_threads", check=f"""WITH RECURSIVE {CHAIN_SQL}, mb AS (SELECT DISTINCT coalesce(target_id, i.thread_id) AS thread_id, item_id, task_id, title, fetched_at FROM v_thread_items i LEFT JOIN fin USING (thread_id))
+{REBUILT_SQL}""")
+def t10_threads(t: Tables) -> DataFrame:
+    return shown(edit.rebuilt_threads(edit.merge_threads(t.v_thread_items, t.v_relations, t.sql(MERGES_SQL))[0]))
 
 
 @query("t10_merge_relations", check=f"""WITH RECURSIVE {CHAIN_SQL},
@@ -70,7 +85,15 @@ SPLIT_SQL = f"""mv AS ({MOVES_SQL}), n AS (SELECT i.thread_id, count(*) AS n_all
 SELECT coalesce(ok.new_thread_id, i.thread_id) AS thread_id, i.item_id, CASE WHEN ok.item_id IS NULL THEN i.similarity ELSE 1.0 END::DOUBLE AS similarity
 FROM v_thread_items i LEFT JOIN ok USING (thread_id, item_id)""")
 def t11_members(t: Tables) -> DataFrame:
-    return edit.split_threads(t.v_thread_items, t.v_relations, t.sql(MOVES_SQL))[0]
+    return edit.split_threads(t.v_thread_items, t.v_relations, t.sql(MOVES_SQL))[0].select("thread_id", "item_id", "similarity")
+
+
+@query("t11_split_threads", check=f"""WITH {SPLIT_SQL}, mb AS (SELECT coalesce(ok.new_thread_id, i.thread_id) AS thread_id, i.item_id, task_id, i.title, fetched_at FROM v_thread_items i LEFT JOIN ok USING (thread_id, item_id)),
+ g AS (SELECT new_thread_id AS thread_id, coalesce(max(new_title), arg_min(title, item_id)) AS given FROM ok GROUP BY new_thread_id), r AS ({REBUILT_SQL})
+SELECT r.* REPLACE (coalesce(given, title) AS title) FROM r LEFT JOIN g USING (thread_id)""")
+def t11_threads(t: Tables) -> DataFrame:
+    members, _, titles = edit.split_threads(t.v_thread_items, t.v_relations, t.sql(MOVES_SQL))
+    return shown(edit.rebuilt_threads(members, titles=titles))
 
 
 @query("t11_split_relations", check=f"""WITH {SPLIT_SQL}

@@ -1,24 +1,18 @@
-"""HTML page tables → list items, and a structure profile of unknown pages."""
+"""HTML page tables → list items, and a profile of unknown pages, by patterns over the text."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsloom.functions.text import strip
 from newsloom.functions.urls import resolve_url
 
-TITLE_CHARS, SAMPLE_ITEMS, SAMPLE_SUMMARY = 500, 5, 200
-# List selectors tried in this order, then containers with many links.
+TITLE_CHARS = 500
+# List selectors tried in this order, and how many hits make a list.
 LIST_SELECTORS = ("article", ".post", ".entry", ".item", ".list-item", ".card", "li.article",
                   "div.post", ".news-item", ".story")
-LIST_MIN, CONTAINER_TAGS, CONTAINER_LINKS = 3, ("div", "section", "ul"), 5
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+LIST_MIN = 3
 
 
 def unescape(text: Column) -> Column:
@@ -27,18 +21,20 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def linked_list_items(pages: DataFrame, list_tag: str = "li", html: str = "html", url: str = "url") -> DataFrame:
-    """Items of lists whose element directly holds its link: `<li><a href=…>text</a>`.
+def linked_list_items(pages: DataFrame, list_tag: str = "li", html: str = "html", url: str = "url",
+                      list_class: str | None = None) -> DataFrame:
+    """Items of lists whose element opens with its link: `<li><a href=…>text</a>`.
 
-    Stays in the JVM; use `selected_items` for class selectors or nested elements.
+    With `list_class`, only elements with that class. Headings may stand between the element and its link.
     """
-    pattern = rf'(?is)<{list_tag}\b[^>]*>\s*<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+    named = "" if list_class is None else rf'\sclass="(?:[^"]*\s)?{list_class}(?:\s[^"]*)?"'
+    pattern = rf'(?is)<{list_tag}\b[^>]*?{named}[^>]*>\s*(?:<h[1-6][^>]*>\s*)?<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
     pair = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("href"),
         F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("text"))
     keep = [c for c in pages.columns if c != html]
     rows = pages.select(
-        *keep, F.regexp_count(html, F.lit(rf"(?i)<{list_tag}\b")).alias("raw_count"), F.posexplode(pair).alias("position", "m"))
+        *keep, F.regexp_count(html, F.lit(rf"(?i)<{list_tag}\b[^>]*?{named}[^>]*>")).alias("raw_count"), F.posexplode(pair).alias("position", "m"))
     out = rows.select(
         *keep, "raw_count", "position",
         F.substring(strip(unescape(F.regexp_replace("m.text", "<[^>]+>", ""))), 1, TITLE_CHARS).alias("title"),
@@ -46,83 +42,6 @@ def linked_list_items(pages: DataFrame, list_tag: str = "li", html: str = "html"
     return out.filter((F.col("title") != "") & F.col("link").isNotNull())
 
 
-class _Tree(HTMLParser):
-    """Flat element list of one page: tag, attributes, parent index, own text pieces."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
-        self.feed(html or "")
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        parent = self.open[-1] if self.open else -1
-        self.nodes.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "up": parent, "text": []})
-        if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]]["tag"] == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data):
-        if data.strip():
-            for index in self.open:
-                self.nodes[index]["text"].append(data.strip())
-
-    def inside(self, index: int, root: int) -> bool:
-        index = self.nodes[index]["up"]
-        while index >= 0:
-            if index == root:
-                return True
-            index = self.nodes[index]["up"]
-        return root < 0
-
-    def select(self, selector: str, root: int = -1) -> list[int]:
-        """Indexes matching `tag`, `.class` or `tag.class` below `root`, in document order."""
-        tag, _, css = selector.partition(".")
-        return [i for i, n in enumerate(self.nodes)
-                if (not tag or n["tag"] == tag) and (not css or css in n["attrs"].get("class", "").split())
-                and self.inside(i, root)]
-
-    def text(self, index: int) -> str:
-        return "".join(self.nodes[index]["text"])
-
-    def links(self, root: int) -> list[int]:
-        return [i for i in self.select("a", root) if "href" in self.nodes[i]["attrs"]]
-
-
-def selected_items(pages: DataFrame, list_sel: str, title_sel: str, link_sel: str,
-                   summary_sel: str | None = None, html: str = "html", url: str = "url") -> DataFrame:
-    """List items by simple selectors (`tag`, `.class`, `tag.class`), parsed in Arrow batches."""
-    keep = [c for c in pages.columns if c != html]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                tree = _Tree(getattr(row, html))
-                hits = tree.select(list_sel)
-                for position, hit in enumerate(hits):
-                    title = tree.select(title_sel, hit)[:1]
-                    link = tree.select(link_sel, hit)[:1]
-                    if not title or not link:
-                        continue
-                    href = tree.nodes[link[0]]["attrs"].get("href") or tree.nodes[title[0]]["attrs"].get("href", "")
-                    brief = tree.select(summary_sel, hit)[:1] if summary_sel else []
-                    rows.append([*(getattr(row, c) for c in keep), len(hits), position,
-                                 tree.text(title[0])[:TITLE_CHARS], href, tree.text(brief[0]) if brief else ""])
-            yield pd.DataFrame(rows, columns=[*keep, "raw_count", "position", "title", "href", "summary"])
-
-    made = pages.mapInPandas(parse, f"{schema}, raw_count int, position int, title string, href string, summary string")
-    return made.filter((F.col("title") != "") & (F.col("href") != "")) \
-        .withColumn("link", resolve_url(F.col(url), F.col("href"))).drop("href")
-
-
 def body_kind(body: Column) -> Column:
     """rss, json or html, from the text alone."""
     return (
@@ -155,83 +74,3 @@ def page_profile(pages: DataFrame, html: str = "html") -> DataFrame:
         F.coalesce(first, F.lit("")).alias("list_selector"),
         F.regexp_count(body, F.lit(r"(?i)<a\s[^>]*href=")).alias("links"),
     )
-
-
-def _structure(html: str) -> dict:
-    tree = _Tree(html)
-    out = {"list_selector": "", "candidate_count": 0, "title_selector": "", "link_selector": "",
-           "summary_selector": "", "next_page_selector": "", "samples": []}
-    for selector in LIST_SELECTORS:
-        if len(tree.select(selector)) >= LIST_MIN:
-            out["list_selector"] = selector
-            break
-    else:
-        for tag in CONTAINER_TAGS:
-            box = next((i for i in tree.select(tag) if len(tree.links(i)) >= CONTAINER_LINKS), None)
-            if box is not None:
-                css = tree.nodes[box]["attrs"].get("class", "").split()
-                out["list_selector"] = f"{tag}.{css[0]}" if css else tag
-                break
-    hits = tree.select(out["list_selector"]) if out["list_selector"] else []
-    out["candidate_count"] = len(hits)
-    if hits:
-        lead = hits[0]
-        out["title_selector"] = next((h for h in ("h1", "h2", "h3", "h4", "a") if tree.select(h, lead)), "")
-        out["link_selector"] = "a" if tree.links(lead) else ""
-        wordy = any(len(tree.text(d)) > 20 for d in tree.select("div", lead))
-        out["summary_selector"] = "p" if tree.select("p", lead) else ("div" if wordy else "")
-
-        def first_text(selector, hit):
-            found = tree.select(selector, hit)[:1] if selector else []
-            return tree.text(found[0]) if found else ""
-
-        for hit in hits[:SAMPLE_ITEMS]:
-            link = tree.links(hit)[:1] if out["link_selector"] else []
-            out["samples"].append({
-                "title": first_text(out["title_selector"], hit),
-                "href": tree.nodes[link[0]]["attrs"]["href"] if link else "",
-                "summary": first_text(out["summary_selector"], hit)[:SAMPLE_SUMMARY]})
-    anchors = tree.select("a")
-    rules = (
-        ("a.next", lambda i: "next" in tree.nodes[i]["attrs"].get("class", "").split()),
-        ("a.pagination-next", lambda i: "pagination-next" in tree.nodes[i]["attrs"].get("class", "").split()),
-        ("a[rel='next']", lambda i: tree.nodes[i]["attrs"].get("rel") == "next"),
-        (".pagination a:last-child", lambda i: _last_in_pagination(tree, i)),
-        ("a:contains('Next')", lambda i: "Next" in tree.text(i)),
-        ("a:contains('下一页')", lambda i: "下一页" in tree.text(i)),
-    )
-    out["next_page_selector"] = next((name for name, rule in rules if any(rule(i) for i in anchors)), "")
-    return out
-
-
-def _last_in_pagination(tree: _Tree, index: int) -> bool:
-    up = tree.nodes[index]["up"]
-    siblings = [i for i, n in enumerate(tree.nodes) if n["up"] == up]
-    boxes = tree.select(".pagination")
-    return siblings[-1] == index and any(tree.inside(index, b) for b in boxes)
-
-
-_SAMPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "href", "summary")])
-_STRUCTURE = T.StructType([
-    T.StructField("list_selector", T.StringType()), T.StructField("candidate_count", T.IntegerType()),
-    T.StructField("title_selector", T.StringType()), T.StructField("link_selector", T.StringType()),
-    T.StructField("summary_selector", T.StringType()), T.StructField("next_page_selector", T.StringType()),
-    T.StructField("samples", T.ArrayType(_SAMPLE)),
-])
-
-
-@F.pandas_udf(_STRUCTURE)
-def _structures(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_structure(h) for h in html], columns=_STRUCTURE.names)
-
-
-def page_structure(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Guessed list, title, link, summary and next-page selectors with up to five sample items."""
-    rows = pages.select(*[c for c in pages.columns if c != html], _structures(F.col(html)).alias("s"))
-    samples = F.transform("s.samples", lambda x: F.struct(
-        x["title"].alias("title"),
-        F.when(x["href"] != "", resolve_url(F.col(url), x["href"])).otherwise("").alias("url"),
-        x["summary"].alias("summary")))
-    return rows.select(
-        *[c for c in rows.columns if c != "s"], "s.list_selector", "s.candidate_count", "s.title_selector",
-        "s.link_selector", "s.summary_selector", "s.next_page_selector", samples.alias("samples"))

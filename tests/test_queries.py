@@ -11,7 +11,7 @@ from tests.compare import compare, duck
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, CHECKS = all_queries(), all_checks()
 # Queries that are rows-only by design.
-UNCHECKED = {"f15_repository_entities", "s05_html_selected_items", "s06_page_structure"}
+UNCHECKED = {"f15_repository_entities"}
 
 
 @pytest.fixture(scope="module")

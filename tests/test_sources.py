@@ -68,25 +68,15 @@ PAGE = """<html><head><title>T &amp; x</title><meta name="description" content="
 <div class="item"><h2 class="t">No link</h2></div></div><a class="next" href="?p=2">more</a></body></html>"""
 
 
-def test_html_selectors(spark):
+def test_html_lists(spark):
     pages = spark.createDataFrame([(1, "https://e.com/en/", PAGE)], "page_id int, url string, html string")
-    got = html_pages.selected_items(pages, ".item", ".t", "a", "p").orderBy("position").collect()
-    assert [(r["title"], r["link"], r["summary"]) for r in got] == [("First", "https://e.com/1", "sum 1"), ("Second", "https://e.com/en/2", "")]
-    assert got[0]["raw_count"] == 3
-    s = html_pages.page_structure(pages).first()
-    assert (s["list_selector"], s["candidate_count"], s["title_selector"], s["link_selector"], s["summary_selector"]) == (".item", 3, "h2", "a", "p")
-    assert s["next_page_selector"] == "a.next" and s["samples"][0]["url"] == "https://e.com/1"
+    got = html_pages.linked_list_items(pages, "div", list_class="item").orderBy("position").collect()
+    assert [(r["title"], r["link"], r["raw_count"]) for r in got] == [("First", "https://e.com/1", 3), ("Second", "https://e.com/en/2", 3)]
+    assert html_pages.linked_list_items(pages, "div", list_class="ite").count() == 0
     p = html_pages.page_profile(pages).first()
     assert (p["kind"], p["title"], p["description"], p["list_selector"], p["links"]) == ("html", "T & x", "D", ".item", 3)
 
 
-def test_selected_items_equal_pattern_items(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    tree = html_pages.selected_items(pages, "li", "a", "a").select("page_id", "title", "link")
-    pattern = html_pages.linked_list_items(pages).select("page_id", "title", "link")
-    assert tree.exceptAll(pattern).count() == 0 and pattern.exceptAll(tree).count() == 0
-
-
 def test_crawl_trim(spark):
     rows = [("c", p, i, f"https://e.com/{min(p, 3)}-{i}", i != 1) for p in range(1, 6) for i in range(3)]
     log = spark.createDataFrame(rows, "crawl_id string, page_no int, item_no int, url string, kept boolean")
