@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import entities, labels, text, times, urls
-from newsloom.operators import features
+from newsloom.operators import dictionary, features
 from newsloom.plans.fixtures import AS_OF, Tables
 from newsloom.plans.registry import query
 
@@ -339,3 +339,16 @@ def d04(t: Tables) -> DataFrame:
         "page_id", "url", F.explode_outer(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
     return links.select(
         "page_id", urls.is_valid_url(F.col("url")).alias("page_ok"), "link", urls.is_valid_url(F.col("link")).alias("link_ok"))
+
+
+# A dictionary made from the tables: words of part names, sources, and first words of titles.
+DICTIONARY_SQL = """SELECT DISTINCT entity_type, name FROM (SELECT 'part' AS entity_type, split_part(p_name, ' ', 2) AS name FROM part UNION ALL SELECT 'source', task_id FROM v_items
+ UNION ALL SELECT 'title', split_part(title, ' ', 1) FROM v_items) d WHERE name <> ''"""
+
+
+@query("u02_dictionary_entities", check=f"""WITH d AS MATERIALIZED (SELECT DISTINCT entity_type, lower(name) AS name FROM ({DICTIONARY_SQL})), w AS MATERIALIZED (SELECT DISTINCT name FROM d),
+ k AS MATERIALIZED (SELECT item_id, lower(title || ' ' || summary) AS txt FROM v_items), h AS (SELECT item_id, name FROM k CROSS JOIN w WHERE contains(txt, name))
+SELECT item_id, entity_type, array_to_string(list_sort(list(DISTINCT name)), '|') AS names FROM h JOIN d USING (name) GROUP BY item_id, entity_type""")
+def u02(t: Tables) -> DataFrame:
+    found = dictionary.dictionary_entities(t.v_items, t.sql(DICTIONARY_SQL))
+    return found.withColumn("names", F.array_join("names", "|"))

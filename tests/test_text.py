@@ -193,3 +193,18 @@ def test_own_dictionary(spark):
     df = spark.createDataFrame([("Acme buys Initech", None)], "title string, summary string")
     f = item_features(df, match="word", dictionaries={"company": ["acme", "buy"]}).first()["features"]
     assert f["entities"]["company"] == ["acme"] and f["title_tokens"] == ["acme", "buys", "initech"]
+
+
+def test_dictionary_table(spark):
+    from newsloom.operators.dictionary import dictionary_entities
+    items = spark.createDataFrame([(1, "OpenAI ships GPT-4", "in r, go"), (2, "nothing", None), (3, "C++ and go.", "x"), (4, None, None)],
+                                  "item_id int, title string, summary string")
+    names = spark.createDataFrame([("company", "OpenAI"), ("company", "x"), ("language", "go"), ("language", "r"), ("language", "c++"),
+                                   ("language", " "), ("language", None), ("model", "gpt-4"), ("model", "GPT-4"), ("place", "thing")],
+                                  "entity_type string, name string")
+    got = {(r["item_id"], r["entity_type"]): r["names"] for r in dictionary_entities(items, names).collect()}
+    assert got == {(1, "company"): ["openai"], (1, "language"): ["go", "r"], (1, "model"): ["gpt-4"], (2, "place"): ["thing"],
+                   (3, "company"): ["x"], (3, "language"): ["c++", "go"]}
+    words = {(r["item_id"], r["entity_type"]): r["names"] for r in dictionary_entities(items, names, "word").collect()}
+    assert words == {(1, "company"): ["openai"], (1, "language"): ["go", "r"], (1, "model"): ["gpt-4"], (3, "company"): ["x"],
+                     (3, "language"): ["c++", "go"]}
