@@ -26,8 +26,9 @@ from newsloom.llm import common
 from newsloom.llm.tokens import encoder
 
 WINDOW = 4096
-# A mixture is a short table of sources; its totals go to every task.
-MOST_SOURCES = 10_000
+# A mixture is a short table of queues; its totals go to every task. The largest sources have queues
+# of their own, all others share some by hash.
+MOST_SOURCES, SHARED_QUEUES = 10_000, 256
 _OFFERS = 6
 _BLOCK = 64
 _KEEP = 256
@@ -122,15 +123,22 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, s
                        common.text_of(text)).mapInArrow(run, "k long, source string, part int, local long, n long, ids binary")
 
 
-def _queues(rows: DataFrame) -> tuple[DataFrame, list]:
-    """(start of each part in its source's queue, totals of the sources by name)."""
+def _queues(rows: DataFrame, named: list[str]) -> tuple[DataFrame, list]:
+    """(queue and start of each part of a source, totals of the queues by name).
+
+    The largest MOST_SOURCES sources, after those in `named`, have queues by their names; the others
+    are dealt to shared queues, one after the other within each.
+    """
     parts = common.written(rows.groupBy("source", "part").agg(F.max(F.col("local") + F.col("n")).alias("ids_in_part")), "parts")
-    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = parts.withColumn("base", F.coalesce(F.sum("ids_in_part").over(before), F.lit(0))).drop("ids_in_part")
-    totals = parts.groupBy("source").agg(F.sum("ids_in_part").alias("ids")).orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"a mixture has at most {MOST_SOURCES} sources; give a coarser source column")
-    return starts, totals
+    sizes = parts.groupBy("source").agg(F.sum("ids_in_part").alias("ids"))
+    own = sizes.orderBy(F.col("source").isin(named).desc(), F.col("ids").desc(), "source").limit(MOST_SOURCES)
+    shared = F.concat(F.lit("\u0000shared "), F.pmod(F.xxhash64("source"), F.lit(SHARED_QUEUES)).cast("string"))
+    queued = parts.join(own.select("source", F.col("source").alias("queue")), "source", "left").withColumn(
+        "queue", F.coalesce("queue", shared))
+    before = W.partitionBy("queue").orderBy("source", "part").rowsBetween(W.unboundedPreceding, -1)
+    starts = common.written(queued.withColumn("base", F.coalesce(F.sum("ids_in_part").over(before), F.lit(0))), "queues")
+    totals = starts.groupBy("queue").agg(F.sum("ids_in_part").alias("ids")).orderBy("queue").collect()
+    return starts.drop("ids_in_part"), totals
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
@@ -141,12 +149,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
 
     A document's ids are those of its whole text and `end_id`; a null text is empty and a null
     source the source ''. `shares` are target proportions (sources not named get none until the
-    others are dry); by default each source's part of all tokens, so that all last to the end.
+    others are dry); by default each source's part of all tokens, so that all last to the end. Any
+    number of sources packs: beyond MOST_SOURCES, small ones share queues and are taken in turn there.
     Every row is packed, a null or repeated key like any other. No documents, no pieces.
     """
     rows = common.written(encoded(docs, tokenizer, end_id, key, text, source), "ids")
-    starts, totals = _queues(rows)
-    names = [r["source"] for r in totals]
+    starts, totals = _queues(rows, sorted(shares or {}))
+    names = [r["queue"] for r in totals]
     sizes = np.array([r["ids"] for r in totals], np.int64)
     rates = sizes.astype(float) if shares is None else np.array([max(float(shares.get(n, 0.0)), 1e-9) for n in names])
     number = {name: i for i, name in enumerate(names)}
@@ -162,10 +171,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
             out: dict[str, list] = {name: [] for name in schema.names}
             columns = list(out.values())
             keys, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            places, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for k, name, place, n, ids in zip(keys, sources, places, counts, batch.column(4), strict=True):
+            places, counts, queues = (batch.column(i).to_pylist() for i in (2, 3, 5))
+            for k, name, place, n, ids, queue in zip(keys, sources, places, counts, batch.column(4), queues, strict=True):
                 raw = np.frombuffer(ids.as_buffer(), f"<u{wide}").astype("<u4").tobytes()
-                for window_, offset, a, b in mixture.pieces(number[name], place, n):
+                for window_, offset, a, b in mixture.pieces(number[queue], place, n):
                     piece = raw[4 * a:4 * b]
                     values = (k, a, b - a, zlib.crc32(piece), n, window_, offset, name, piece)
                     for column, value in zip(columns, values, strict=False):
@@ -175,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
         yield from common.batches(batches, schema, make)
 
     placed = rows.join(starts, ["source", "part"]).select(
-        "k", "source", (F.col("base") + F.col("local")).alias("place"), "n", "ids")
+        "k", "source", (F.col("base") + F.col("local")).alias("place"), "n", "ids", "queue")
     out = placed.mapInArrow(run, "k long, start long, length long, ids_crc32 long, doc_tokens long, "
                                  "sequence_id long, offset long, source string" + ", ids binary" * with_ids)
     return out.withColumnRenamed("k", key)

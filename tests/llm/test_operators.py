@@ -310,6 +310,25 @@ def test_packing(docs, corpus, shares):
     assert max(abs(x - target) for x in early) <= 3 / 512
 
 
+def test_packing_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_SOURCES", 3)
+    monkeypatch.setattr(packing, "SHARED_QUEUES", 2)
+    rows = [(i, f"word{i} " * (40 if i % 20 < 3 else 7), "en", f"s{i % 20}", 1) for i in range(400)]
+    made = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(5), registered.WORD_TOKENIZER, 2, window=256)
+    by_doc, by_window = {}, {}
+    for r in made.collect():
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+        by_window.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(by_doc) == 400
+    for pieces in [*([(a, n) for a, n, _ in p] for p in by_doc.values()), *by_window.values()]:
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+    assert all(sum(n for _, n, _ in p) == p[0][2] for p in by_doc.values())
+    assert all(sum(n for _, n in w) == 256 for k, w in by_window.items() if k != max(by_window))
+
+
 def test_packing_nothing(spark):
     assert packing.pack(empty(spark), registered.WORD_TOKENIZER).count() == 0
 
