@@ -18,6 +18,8 @@ from newsloom.llm.tokens import encoder, file_digest
 
 CACHE_SCHEMA = "content string, version string, n_tokens long"
 
+MOST_FREQUENT = 1000
+
 
 def version_digest(path: str) -> str:
     """Of the vocabulary file and of how it is used."""
@@ -55,13 +57,20 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, key: str = "doc_id
     content = common.text_of(text)
     rows = common.written(docs.select(F.col(key), F.octet_length(content).cast("long").alias("n_bytes"),
                                       F.sha2(content, 256).alias("content")), "contents")
-    misses = (rows.join(read_cache(spark, cache, version), "content", "left_anti")
-              .groupBy("content").agg(F.min(key).alias("_k")))
+    contents = common.written(rows.groupBy("content").agg(F.min(key).alias("_k"), F.count("*").alias("times")), "distinct")
+    misses = contents.join(read_cache(spark, cache, version), "content", "left_anti").select("content", "_k")
     texts = docs.select(F.col(key).alias("_key"), content.alias("t"), F.sha2(content, 256).alias("content"))
     same = texts["content"] == misses["content"]
     chosen = texts.join(misses.hint("merge"), same & texts["_key"].eqNullSafe(misses["_k"]), "left_semi")
     fresh = encode_misses(chosen.select("content", "t"), tokenizer).dropDuplicates(["content"])
     fresh.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, version)
-    return rows.join(counts, "content").select(
-        F.col(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Contents of more than one row in MOST_FREQUENT: at most that many, so their counts go to all tasks
+    # and their rows stay where they are.
+    total = contents.agg(F.sum("times")).first()[0] or 0
+    frequent = contents.filter(F.col("times") * MOST_FREQUENT > total).select("content")
+    held = F.broadcast(frequent.join(counts, "content").withColumnRenamed("n_tokens", "_frequent"))
+    marked = rows.join(held, "content", "left")
+    columns = [F.col(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")]
+    return (marked.filter("_frequent IS NOT NULL").withColumnRenamed("_frequent", "n_tokens").select(*columns)
+            .unionByName(marked.filter("_frequent IS NULL").join(counts, "content").select(*columns)))
