@@ -195,9 +195,9 @@ def tokenised(texts: pa.Array, both: Pair) -> Aligned:
     flat = np.full(int(lengths.sum()), -1, np.int32)
     flat[_spread(base, n_a)], flat[_spread(base + n_a + 1, n_b)] = ids_a, ids_b
     first_a = _first(counts_a)
-    codes, keys = distinct_spans(flat.view(np.uint8), 4 * np.cumsum(lengths)) if len(lengths) else (none, pa.array([], pa.binary()))
+    codes, keys = distinct_spans(flat.view(np.uint8), 4 * np.cumsum(lengths)) if len(lengths) else (none, [])
     return Aligned(ids_a, ids_b, first_a, _first(counts_b), codes,
-                   np.searchsorted(after_a, first_a, "right") if len(after_a) else np.zeros(len(first_a), np.int64), keys.to_pylist())
+                   np.searchsorted(after_a, first_a, "right") if len(after_a) else np.zeros(len(first_a), np.int64), keys)
 
 
 def _lists(first: np.ndarray, values: np.ndarray) -> pa.Array:

@@ -203,7 +203,7 @@ class Encoder:
         if len(self.place) > self.limit:
             self._empty()
         at = np.zeros(len(spans), np.int64)
-        pieces = spans.filter(pa.array(used)).cast(pa.large_string()).to_pylist()
+        pieces = [x.decode() for x, wanted in zip(spans, used.tolist(), strict=True) if wanted]
         places = list(map(self.place.get, pieces))
         if None in places:
             self._learn([p for p, place in zip(pieces, places, strict=True) if place is None])

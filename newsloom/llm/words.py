@@ -1,8 +1,8 @@
 """Words of whole texts as digests, computed over the bytes of an Arrow column.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Arrow's dictionary tells the
-words of a batch apart by their bytes; each distinct one gets a cryptographic digest of 128 bits
-(BLAKE2b), so that all tasks agree and no choice of words makes two of them meet.
+words of a batch apart by their bytes; each distinct one gets 128 bits of a cryptographic digest
+(BLAKE2s), so that all tasks agree and no choice of words makes two of them meet.
 """
 
 from __future__ import annotations
@@ -63,12 +63,14 @@ class Words:
         return np.diff(self.first)
 
 
-def distinct_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def distinct_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """(number of each span's bytes among the distinct ones, those) of spans that lie end to end."""
     offsets = np.concatenate(([0], ends)).astype(np.int64)
     spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     coded = spans.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    _, places, content = coded.dictionary.buffers()
+    at, raw = np.frombuffer(places, np.int64)[: len(coded.dictionary) + 1].tolist(), content.to_pybytes() if content else b""
+    return coded.indices.to_numpy(zero_copy_only=False), [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def digests(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +78,8 @@ def digests(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not len(ends):
         return np.zeros(0, U), np.zeros(0, U)
     codes, spans = distinct_spans(data, ends)
-    raw = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in spans.to_pylist()])
-    halves = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    digest = hashlib.blake2s
+    halves = np.frombuffer(b"".join([digest(x).digest() for x in spans]), "<u8").reshape(-1, 4)
     return halves[codes, 0], halves[codes, 1]
 
 
@@ -113,27 +115,24 @@ def words(column: pa.Array, fold: bool = False, trim: bool = False) -> Words:
     """
     data, offsets = flat_bytes(column)
     starts, ends, inside = word_spans(data, offsets)
+    first = np.searchsorted(starts, offsets)
+    low, high = _trimmed(data, starts, ends, inside) if trim else (starts, ends)
     packed = data[inside]
-    hashes, others = digests(_LOWER[packed] if fold else packed, np.cumsum(ends - starts))
-    found = Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes, others)
-    if trim:
-        _trim(found, fold)
-    return found
-
-
-def _trim(found: Words, fold: bool) -> None:
-    starts, ends = found.starts.copy(), found.ends.copy()
-    for _ in range(3 if len(starts) else 0):
-        starts += (starts < ends - 1) & _MARKS[found.data[starts]]
-        ends -= (starts < ends - 1) & _MARKS[found.data[ends - 1]]
-    changed = np.flatnonzero((starts != found.starts) | (ends != found.ends))
-    if len(changed):
-        lengths = ends[changed] - starts[changed]
-        offsets = np.concatenate(([0], np.cumsum(lengths)))
-        at = np.repeat(starts[changed] - offsets[:-1], lengths) + np.arange(offsets[-1])
-        inner = words(pa.LargeStringArray.from_buffers(
-            len(changed), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(found.data[at])), fold)
-        found.hashes[changed], found.others[changed] = inner.hashes, inner.others
+    hashes, others = digests(_LOWER[packed] if fold else packed, np.cumsum(high - low))
+    return Words(data, offsets, starts, ends, first, hashes, others)
+
+
+def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without up to three marks at each end, of which one byte stays; `inside` loses the marks."""
+    low, high = starts.copy(), ends.copy()
+    for _ in range(3 if len(low) else 0):
+        gone = np.flatnonzero((low < high - 1) & _MARKS[data[low]])
+        inside[low[gone]] = False
+        low[gone] += 1
+        gone = np.flatnonzero((low < high - 1) & _MARKS[data[high - 1]])
+        inside[high[gone] - 1] = False
+        high[gone] -= 1
+    return low, high
 
 
 def prefix_hashes(found: Words, size: int, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
