@@ -104,6 +104,43 @@ def substring_search(items: DataFrame, needle: str) -> DataFrame:
                         | F.contains(ascii_lower(F.coalesce("summary", F.lit(""))), wanted))
 
 
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of GRAM characters of the text as `substring_search` compares it."""
+    # One pass whatever the length: a look ahead at each place. Between the halves of a pair of surrogates it
+    # adds a run that no needle has.
+    ahead = F.lit("(?s)(?=(.{%d}))" % GRAM)
+    return F.array_distinct(F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), ahead, F.lit(1)))
+
+
+def gram_index(items: DataFrame) -> DataFrame:
+    """(bucket, token, item_id, field): each run of three characters of a title or summary once.
+
+    Store it with `write_token_index`. Texts below three characters have no rows; no needle that an index answers is in them.
+    """
+    fields = F.array(F.struct(F.lit("title").alias("field"), _grams(F.col("title")).alias("grams")),
+                     F.struct(F.lit("summary").alias("field"), _grams(F.col("summary")).alias("grams")))
+    rows = items.select("item_id", F.inline(fields)).select("item_id", "field", F.explode("grams").alias("token"))
+    return rows.select(_bucket(F.col("token")).alias("bucket"), "token", "item_id", "field")
+
+
+def substring_search_indexed(index: DataFrame, items: DataFrame, needle: str) -> DataFrame:
+    """`substring_search` from a stored gram index: only items that hold all runs of the needle are compared.
+
+    The index is read in the buckets of these runs. A needle below three characters has no runs and
+    takes the scan. Each text adds a run once, so counting rows finds the texts that hold all of them.
+    """
+    low = needle.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    grams = sorted({low[i:i + GRAM] for i in range(len(low) - GRAM + 1)})
+    if not grams:
+        return substring_search(items, needle)
+    rows = index.filter(F.col("bucket").isin(*[_bucket(F.lit(g)) for g in grams]) & F.col("token").isin(*grams))
+    full = rows.groupBy("item_id", "field").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+    return substring_search(items.join(full.select("item_id"), "item_id", "left_semi"), needle)
+
+
 def item_page(items: DataFrame, tasks: DataFrame, task_id: str | None = None, starred: bool | None = None,
               read: bool | None = None, created_after: str | datetime | None = None, page: int = 1,
               per_page: int = 20) -> DataFrame:

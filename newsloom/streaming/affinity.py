@@ -1,56 +1,69 @@
-"""Streaming affinity: fold each batch of updates into the state, send late updates aside."""
+"""Streaming affinity: updates in any order, folded hour by hour.
+
+An update maps a score s to 0.9·s + 0.1·d, so the updates of an hour together are one affine map. One row
+per key and hour holds that map; the score is the chain of the maps. An update that comes late folds
+its own hour again from the log and leaves all others as they are, so no update is set aside.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsloom.operators.recommend import DECAY, fold_affinity
-from newsloom.streaming.tables import AppendTable, StateTable, each_batch
+from newsloom.functions import windows
+from newsloom.operators.recommend import chain_hours, fold_hours
+from newsloom.streaming.tables import AppendTable, each_batch
 
-STATE_SCHEMA = ("user_id bigint, affinity_type string, affinity_value string, affinity_score double, "
-                "interaction_count bigint, last_interacted_at timestamp_ntz")
-DELTA_SCHEMA = "interaction_id bigint, user_id bigint, created_at timestamp_ntz, affinity_type string, affinity_value string, delta double"
 BY = ("user_id",)
+DELTA_SCHEMA = "interaction_id bigint, user_id bigint, created_at timestamp_ntz, affinity_type string, affinity_value string, delta double"
+HOUR_SCHEMA = ("user_id bigint, affinity_type string, affinity_value string, _bucket timestamp_ntz, "
+               "n bigint, part double, first_delta double, last timestamp_ntz")
+DELTA_COLUMNS = ("interaction_id", "user_id", "created_at", "affinity_type", "affinity_value", "delta")
+
+
+def _keys(by: Sequence[str]) -> list[str]:
+    return [*by, "affinity_type", "affinity_value"]
 
 
-def fold_batch(deltas: DataFrame, before: DataFrame, by: Sequence[str] = BY) -> tuple[DataFrame, DataFrame]:
-    """(state after the batch, late updates).
+def touched_hours(batch: DataFrame, log: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """The hours that a batch touches, folded from the batch and the earlier updates in `log`.
 
-    n updates act on an older score as s → 0.9ⁿ·s + rest. Folding the batch alone gives
-    rest + 0.9ⁿ·d₁ for its first delta, so the old score only has to replace d₁.
+    The log is read between the first and last hour of the batch only: a file's times tell whether it is
+    opened, so a batch in order reads little more than the newest one. An update without a time comes before all others.
     """
-    keys = [*by, "affinity_type", "affinity_value"]
-    held = before.select(*keys, F.col("last_interacted_at").alias("_seen"))
-    marked = deltas.join(held, keys, "left")
-    late = F.coalesce(F.col("created_at") < F.col("_seen"), F.lit(False))
-    on_time = marked.filter(~late).drop("_seen")
-    order = F.struct("created_at", "interaction_id")
-    first = on_time.groupBy(*keys).agg(F.min_by("delta", order).alias("first_delta"))
-    made = fold_affinity(on_time, by).join(first, keys).select(
-        *keys, F.col("affinity_score").alias("new_score"), F.col("interaction_count").alias("n"),
-        F.col("last_interacted_at").alias("new_last"), "first_delta")
-    joined = before.join(made, keys, "full")
-    known, touched = F.col("affinity_score").isNotNull(), F.col("n").isNotNull()
-    # The batch alone weighs its first delta 0.9ⁿ⁻¹; after an older score that delta weighs a tenth of it.
-    chained = F.col("new_score") + F.pow(F.lit(DECAY), F.col("n")) * (F.col("affinity_score") - F.col("first_delta"))
-    state = joined.select(
-        *keys,
-        F.when(~touched, F.col("affinity_score")).when(known, chained).otherwise(F.col("new_score")).alias("affinity_score"),
-        (F.coalesce("interaction_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("interaction_count"),
-        F.greatest("last_interacted_at", "new_last").alias("last_interacted_at"))
-    return state, marked.filter(late).drop("_seen")
-
-
-def stream_affinity(deltas: DataFrame, table: StateTable, late: AppendTable, checkpoint: str) -> StreamingQuery:
-    """Keys with late updates must be folded again in batch from the full log."""
+    keys, hour = _keys(by), windows.hour("created_at").cast("timestamp_ntz")
+    low, high = batch.agg(F.min(hour), F.max("created_at")).first()
+    fresh = batch.select(*DELTA_COLUMNS).withColumn("_bucket", hour)
+    if low is None:
+        near = log.filter(F.col("created_at").isNull())
+    else:
+        first, last = (F.lit(str(at)).cast("timestamp_ntz") for at in (low, high + timedelta(hours=1)))
+        near = log.filter(F.col("created_at").isNull() | F.col("created_at").between(first, last))
+    held = near.select(*DELTA_COLUMNS).withColumn("_bucket", hour).alias("l")
+    group = [*keys, "_bucket"]
+    touched = fresh.select(*group).distinct().alias("t")
+    same = F.lit(True)
+    for k in group:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}"))
+    return fold_hours(fresh.unionByName(held.join(touched, same, "left_semi")), keys)
+
+
+def stream_affinity(deltas: DataFrame, log: AppendTable, hours: AppendTable, checkpoint: str) -> StreamingQuery:
+    """Append each batch to the log and its touched hours to `hours`; a replayed batch replaces its own rows."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        state, behind = fold_batch(batch, table.version(epoch - 1))
-        table.write(state, epoch)
-        late.write(behind.select("interaction_id", "user_id", "created_at", "affinity_type", "affinity_value", "delta"), epoch)
+        log.write(batch.select(*DELTA_COLUMNS), epoch)
+        hours.write(touched_hours(batch, log.before(epoch)), epoch)
 
     return each_batch(deltas, checkpoint, handle)
+
+
+def current_affinity(hours: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Affinities from the rows of `hours`. The updates of an hour only grow, so its version with most is the last."""
+    keys = _keys(by)
+    latest = hours.groupBy(*keys, "_bucket").agg(F.max_by(F.struct("n", "part", "first_delta", "last"), "n").alias("h"))
+    return chain_hours(latest.select(*keys, "_bucket", "h.*"), keys)

@@ -64,14 +64,25 @@ def test_affinity_fold_and_stream_parts(spark, monkeypatch, group_rows):
     rows = [(i * 17, 0.01 * (i % 11)) for i in range(40)]
     whole = recommend.fold_affinity(deltas(spark, rows), ["user_id"]).first()
     assert whole["affinity_score"] == pytest.approx(plain_fold([d for _, d in rows])) and whole["interaction_count"] == 40
-    state = spark.createDataFrame([], affinity.STATE_SCHEMA)
-    for part in (rows[:1], rows[1:15], rows[15:]):
-        state, late = affinity.fold_batch(deltas(spark, part), state)
-        assert late.count() == 0
-    r = state.first()
+    ordered = deltas(spark, rows)
+    parts = [ordered.filter(f"interaction_id % 3 = {i}") for i in (2, 0, 1)]
+    log, hours = ordered.limit(0), spark.createDataFrame([], affinity.HOUR_SCHEMA)
+    for part in parts:
+        hours = hours.unionByName(affinity.touched_hours(part, log))
+        log = log.unionByName(part)
+    r = affinity.current_affinity(hours).first()
     assert r["affinity_score"] == pytest.approx(whole["affinity_score"]) and r["interaction_count"] == 40
-    after, late = affinity.fold_batch(deltas(spark, [(-60, 0.1)]), state)
-    assert late.count() == 1 and after.first()["affinity_score"] == pytest.approx(whole["affinity_score"])
+
+
+def test_late_update_folds_its_own_hour_only(spark):
+    log = deltas(spark, [(0, 0.5), (10, 1.0), (70, 0.2), (140, 0.9)])
+    late = spark.createDataFrame([(9, 1, NOW + timedelta(minutes=5), "task", "x", 0.3)], affinity.DELTA_SCHEMA)
+    made = affinity.touched_hours(late, log).collect()
+    assert [r["n"] for r in made] == [3]
+    hours = affinity.touched_hours(log, log.limit(0)).unionByName(affinity.touched_hours(late, log))
+    r = affinity.current_affinity(hours).first()
+    assert r["affinity_score"] == pytest.approx(plain_fold([0.5, 0.3, 1.0, 0.2, 0.9])) and r["interaction_count"] == 5
+    assert affinity.touched_hours(late.limit(0), log).count() == 0
 
 
 RUN = "execution_id int, task_id string, status string, executed_at timestamp_ntz"
@@ -186,3 +197,18 @@ def test_tables_replay(spark, tmp_path):
     assert table.read().count() == 2 and [r[0] for r in table.before(1).collect()] == [1]
     state = StateTable(spark, str(tmp_path / "s"), "x int")
     assert state.version(-1).count() == 0
+
+
+@pytest.mark.parametrize("needle", ["", "ab", "ABC", "50%_", "aaaa", "\u0130x\u0131", "c\U0001F600d", "nowhere"])
+def test_substring_index_equals_scan(spark, tmp_path, needle):
+    texts = [(1, "xABCabc", None), (2, None, "50%_ off"), (3, "ab", ""), (4, "aaa", "aaa"), (5, "baaaab", "q"),
+             (6, "\u0130x\u0131", "\u0130X\u0131"), (7, "abC\U0001F600D", "x")]
+    items = spark.createDataFrame(texts, "item_id int, title string, summary string")
+    path = f"{tmp_path}/grams"
+    search.write_token_index(search.gram_index(items), path)
+    index = spark.read.parquet(path)
+    found = search.substring_search_indexed(index, items, needle)
+    assert sorted(found.collect()) == sorted(search.substring_search(items, needle).collect())
+    if len(needle) >= 3:
+        plan = found._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
