@@ -138,9 +138,12 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None,
            eps: float = 0.0) -> Column:
-    """Cosine clamped to [0, 1]. Pass precomputed norms when a vector meets many others."""
+    """Cosine clamped to [0, 1]; 0 where a vector is missing, zero or of another length.
+
+    Pass precomputed norms when a vector meets many others.
+    """
     size = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b) + F.lit(eps)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), size)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot(a, b), size), F.lit(0.0))))
 
 
 # A pluggable similarity takes two columns and returns a column in [0, 1].

@@ -29,31 +29,42 @@ def _usable(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) != ""
 
 
-def _unseen(batch: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch rows whose keys are not in history; rows with a blank key pass.
+def item_keys(items: DataFrame, probing: bool = False) -> DataFrame:
+    """(item_id, kind, key): what an item is known by, without its texts. A blank key makes no row.
 
-    Blank keys get a row-unique stand-in, so they spread over all tasks instead of
-    meeting in the one that NULL hashes to.
+    Kinds: `task` (task and external id together), `any` (external id in whatever task), `url` and
+    `content`. With `probing`, `any` is left to items without a task, which compare with every task.
     """
-    seen = history.filter(_usable(keys[-1])).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
-    stand_in = F.concat(F.lit("\u0000blank:"), F.col("item_id").cast("string"))
-    probe = batch.withColumn("_probe", F.when(_usable(keys[-1]), F.col(keys[-1])).otherwise(stand_in))
-    match = F.col("_probe") == F.col(f"_h_{keys[-1]}")
-    for k in keys[:-1]:
-        match = match & (F.col(k) == F.col(f"_h_{k}"))
-    return probe.join(seen, match, "left_anti").drop("_probe")
+    task, external = F.col("task_id").cast("string"), F.col("external_id").cast("string")
+    with_task, with_id = _usable("task_id"), _usable("external_id")
+    # The length in front tells where the task ends.
+    pair = F.concat(F.length(task).cast("string"), F.lit(":"), task, external)
+    keys = {
+        "task": F.when(with_task & with_id, pair),
+        "any": F.when(with_id & ~with_task if probing else with_id, external),
+        "url": F.when(_usable("url_hash"), F.col("url_hash")),
+        "content": F.when(_usable("content_hash"), F.col("content_hash")),
+    }
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in keys.items()])
+    return items.select("item_id", F.inline(rows)).filter(F.col("key").isNotNull())
+
+
+def drop_matched(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Batch rows none of whose keys is in `known` (kind, key). `item_id` names a row of the batch.
+
+    Only keys meet, in one semi-join; a key that history holds often is one row there. Rows that
+    match by one key or several are then left out by id.
+    """
+    met = item_keys(batch, probing=True).join(known.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    return batch.join(met.select("item_id").distinct(), "item_id", "left_anti").select(*batch.columns)
 
 
 def drop_known(batch: DataFrame, history: DataFrame) -> DataFrame:
-    """Batch rows new to history by external id (same task), then URL hash, then content hash.
+    """Batch rows new to history by external id (same task), URL hash and content hash.
 
-    A row without a task compares its external id with every task. All three levels are
-    anti-joins, so history keys are only hashed and compared, never collected.
+    A row without a task compares its external id with every task.
     """
-    with_task = _unseen(batch.filter(_usable("task_id")), history, ["task_id", "external_id"])
-    no_task = _unseen(batch.filter(~_usable("task_id")), history, ["external_id"])
-    fresh = with_task.unionByName(no_task)
-    return _unseen(_unseen(fresh, history, ["url_hash"]), history, ["content_hash"])
+    return drop_matched(batch, item_keys(history))
 
 
 def unique_in_batch(batch: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import entities, labels, text, times, urls
-from newsloom.operators import dictionary, features
+from newsloom.operators import dictionary, features, vectors
 from newsloom.plans.fixtures import AS_OF, Tables
 from newsloom.plans.registry import query
 
@@ -352,3 +352,25 @@ SELECT item_id, entity_type, array_to_string(list_sort(list(DISTINCT name)), '|'
 def u02(t: Tables) -> DataFrame:
     found = dictionary.dictionary_entities(t.v_items, t.sql(DICTIONARY_SQL))
     return found.withColumn("names", F.array_join("names", "|"))
+
+
+NEAREST_SQL = """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, round(greatest(0.0, least(1.0, list_dot_product(q.v, x.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(x.v, x.v))))), 9) AS similarity
+  FROM u q JOIN u x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10"""
+
+
+def _nearest(t: Tables, probes: int | None) -> DataFrame:
+    units = vectors.unit_vectors(t.embeddings, "vec_id", "embedding")
+    return vectors.nearest(units.filter("id % 50 = 0"), units, 10, probes=probes).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("u01_nearest_vectors_exact", check=NEAREST_SQL)
+def u01_exact(t: Tables) -> DataFrame:
+    return _nearest(t, None)
+
+
+@query("u01_nearest_vectors")
+def u01(t: Tables) -> DataFrame:
+    """Looks at twelve of sixteen cells; the recall is measured in the tests."""
+    return _nearest(t, 12)

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from newsloom.operators.dedup import drop_known, unique_in_batch, with_keys
-from newsloom.streaming.tables import AppendTable, each_batch
+from newsloom.operators.dedup import drop_matched, item_keys, unique_in_batch, with_keys
+from newsloom.session import cut_lineage
+from newsloom.streaming.tables import AppendTable, KeyTable, each_batch
 
-KEYS = ["task_id", "external_id", "url_hash", "content_hash"]
 
+def feed_items(stream: DataFrame, table: AppendTable, keys: KeyTable, checkpoint: str) -> StreamingQuery:
+    """Append the new items of each batch and their keys; items kept before are not read again.
 
-def feed_items(stream: DataFrame, table: AppendTable, checkpoint: str) -> StreamingQuery:
-    """Append the new items of each batch; history is read as its key columns only.
-
-    Deduplication is exact over the whole table, not only inside a watermark.
+    Deduplication is exact over all batches, not only inside a watermark, so an item that comes late is
+    treated like any other and none is set aside. The keys of earlier batches are read in the buckets that
+    the batch's own keys fall into.
     """
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        keyed = with_keys(batch)
-        fresh = unique_in_batch(drop_known(keyed, table.before(epoch).select(*KEYS)))
-        table.write(fresh, epoch)
+        keyed = cut_lineage(with_keys(batch))
+        known = keys.before(epoch, item_keys(keyed, probing=True))
+        table.write(unique_in_batch(drop_matched(keyed, known)), epoch)
+        keys.write(item_keys(table.batch(epoch)), epoch)
 
     return each_batch(stream, checkpoint, handle)

@@ -58,9 +58,9 @@ def test_ngram_similarity(one):
 
 
 def test_cosine(spark):
-    df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0])],
-                               "a array<float>, b array<float>")
-    assert [r[0] for r in df.select(text.cosine(C("a"), C("b"))).collect()] == [1.0, 0.0, 0.0]
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]),
+                                (None, [1.0]), ([0.0], [1.0]), ([1.0], [1.0, 0.0]), ([], [])], "a array<float>, b array<float>")
+    assert [r[0] for r in df.select(text.cosine(C("a"), C("b"))).collect()] == [1.0] + [0.0] * 6
 
 
 def test_keyword_filter(one):
