@@ -68,3 +68,21 @@ def test_nearest_odd_vectors(spark):
     got = [tuple(r) for r in nearest(units.filter("id = 1"), units, 2).orderBy("rank").collect()]
     assert got == [(1, 2, 1.0, 1), (1, 3, 0.0, 2)]
     assert nearest(units.limit(0), units.limit(0)).count() == 0
+
+
+def test_nearest_copies_ties_and_lengths_in_blocks(spark, monkeypatch):
+    from newsloom.operators import vectors
+    monkeypatch.setattr(vectors, "UNIT_ROWS", 7)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 3)
+    monkeypatch.setattr(vectors, "AT_A_TIME", 2)
+    rows = [(i, [1.0, float(i % 4)]) for i in range(60)] + [(100 + i, [1.0, 0.0, float(i % 3)]) for i in range(9)] + [(200, [-1.0, -9.0])]
+    units = unit_vectors(spark.createDataFrame(rows, "v int, e array<float>"), "v", "e")
+    made = {r["id"]: list(r["unit"]) for r in units.collect()}
+    got = nearest(units.filter("id % 5 = 0"), units, 4)
+    want = set()
+    for length in (2, 3):
+        some = {i: v for i, v in made.items() if len(v) == length}
+        want |= plain_nearest(some, [i for i in some if i % 5 == 0], 4)
+    assert {(r["query_id"], r["id"]) for r in got.collect()} == want
+    # Pairs stay in the tasks that count them: no plan joins vectors with queries.
+    assert "CoGroups" in got._jdf.queryExecution().toString()
