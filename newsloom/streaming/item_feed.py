@@ -19,9 +19,11 @@ def feed_items(stream: DataFrame, table: AppendTable, keys: KeyTable, checkpoint
     """
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        keyed = cut_lineage(with_keys(batch))
-        known = keys.before(epoch, item_keys(keyed, probing=True))
-        table.write(unique_in_batch(drop_matched(keyed, known)), epoch)
+        # Which items are new is decided without their texts; these move once, when they are written.
+        narrow = cut_lineage(with_keys(batch).select("item_id", "created_at", "task_id", "external_id", "url_hash", "content_hash"))
+        known = keys.before(epoch, item_keys(narrow, probing=True))
+        kept = cut_lineage(unique_in_batch(drop_matched(narrow, known)).select("item_id").distinct())
+        table.write(with_keys(batch).join(kept, "item_id", "left_semi"), epoch)
         keys.write(item_keys(table.batch(epoch)), epoch)
 
     return each_batch(stream, checkpoint, handle)
