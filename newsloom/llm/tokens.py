@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of pieces.
 
 Both pre-tokenizers cut a text by one pattern into pieces whose ids do not depend on what stands
-around them. Each distinct piece goes to the library once per worker and cache filling; texts for
+around them. Each distinct piece goes to the library's model once per worker and cache filling; texts for
 which the cut is not certain (added tokens, scripts beyond Latin) go to the library whole.
 """
 
@@ -12,7 +12,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate, islice, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,11 @@ _OTHER_TEXT = re.compile("[^\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-
 
 _NOT_PLAIN = "['\\x00-\\x08\\x0e-\\x1f\\x7f-\\x{bf}\\x{d7}\\x{f7}\\x{250}-\\x{10ffff}]"
 BATCH = 1024
+# The letter that stands for each byte in both vocabularies.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(b) for b in _SEEN} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
+# The one letter here whose lower case is two characters ends in this one, where the library cuts.
+_NOT_ONE_LOWER = "\u0307".encode().decode("latin-1").translate(_ALPHABET)
 _BLANK, _LETTER, _DIGIT, _MARK = range(4)
 _KINDS = np.full(256, _MARK, np.uint8)
 _KINDS[[0x20, *range(0x09, 0x0E)]] = _BLANK
@@ -63,72 +68,76 @@ class Encoder:
         self.by_word = split.get("type") == "Split" and split["behavior"] == "Removed" and r"\s" in split["pattern"]["Regex"]
         self.added = [t["content"] for t in settings["added_tokens"]] if specials else []
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        self.model = self.library.model
         self.limit = cache_pieces
-        names = self.library.get_vocab(with_added_tokens=True)
-        self.opens, self.closes = np.zeros(max(names.values()) + 1, bool), np.zeros(max(names.values()) + 1, bool)
-        for name, number in names.items():
-            self.opens[number], self.closes[number] = name.startswith("Ġ"), name.endswith("</w>")
-        self.line = names.get("Ċ", -1)
         self._empty()
 
     def _empty(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.starts = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
+        self.again = np.zeros(1024, bool)
         self.used = 0
 
+    def _make_room(self) -> None:
+        """Where the cache is full, forget the pieces that were met once; all, if they leave little room."""
+        if len(self.place) <= self.limit:
+            return
+        kept = np.flatnonzero(self.again[:len(self.place)])
+        pieces = [p for p, again in zip(self.place, self.again.tolist(), strict=False) if again]
+        ids, lengths = self._gathered(kept), self.lengths[kept]
+        self._empty()
+        if 2 * len(kept) < self.limit:
+            self._keep(pieces, ids, lengths)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        """Remember pieces whose ids end at `ends`."""
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Ids of new pieces, each different: a piece is one word of the library's model, byte by byte in its alphabet."""
+        if self.by_word:
+            lower = b"\n".join(pieces).decode().lower().encode()
+            words = lower.decode("latin-1").translate(_ALPHABET).split(_ALPHABET[0x0A])
+        else:
+            spelt = b"".join(pieces).decode("latin-1").translate(_ALPHABET)
+            words = [spelt[a:b] for a, b in pairwise(accumulate(map(len, pieces), initial=0))]
+        found: list[int] = []
+        ends = []
+        for piece, word in zip(pieces, words, strict=True):
+            if self.by_word and _NOT_ONE_LOWER in word:
+                found += self._whole(piece.decode()).tolist()
+            else:
+                found += [t.id for t in self.model.tokenize(word)]
+            ends.append(len(found))
+        self._keep(pieces, np.array(found, np.uint32), np.diff(ends, prepend=0))
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember new pieces, of which each has so many of the ids."""
         at, n = len(self.place), len(pieces)
         while at + n > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+            self.starts, self.lengths, self.again = (np.resize(x, 2 * len(x)) for x in (self.starts, self.lengths, self.again))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used:self.used + len(ids)] = ids
-        lengths = np.diff(ends, prepend=0)
-        self.starts[at:at + n] = self.used + ends - lengths
+        self.starts[at:at + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[at:at + n] = lengths
+        self.again[at:at + n] = False
         self.used += len(ids)
         self.place.update(zip(pieces, range(at, at + n), strict=True))
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces, many in one call where marks in the ids tell them apart again."""
-        fresh = dict.fromkeys(p for p in pieces if p not in self.place)
-        if self.by_word:
-            together, alone, rest = [], [], list(fresh)
-        else:
-            together = [p for p in fresh if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-            rest = [p for p in fresh if not p[0].isspace()]
-            alone = [p for p in fresh if p[0].isspace() and (len(p) == 1 or p[1].isspace())]
-        if together:  # each starts with a blank, and so does its first id
-            ids = self._whole("".join(together))
-            first = np.flatnonzero(self.opens[ids])
-            self._fit(together, ids, np.append(first[1:], len(ids)), len(first))
-        if rest and self.by_word:  # each ends with an id that ends a word
-            ids = self._whole(" ".join(rest))
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            self._fit(rest, ids, ends, len(ends))
-        elif rest:  # parted by line ends
-            ids = self._whole("\n".join(rest))
-            cut = ids == self.line
-            ends = np.cumsum(~cut)[np.append(np.flatnonzero(cut) - 1, len(ids) - 1)]
-            self._fit(rest, ids[~cut], ends, int(cut.sum()) + 1)
-        if alone:
-            self._one_by_one(alone)
-
-    def _fit(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray, found: int) -> None:
-        if found == len(pieces):
-            self._keep(pieces, ids, ends)
-        else:
-            self._one_by_one(pieces)
-
-    def _one_by_one(self, pieces: list[str]) -> None:
-        parts = [self._whole(p) for p in pieces]
-        self._keep(pieces, np.concatenate(parts), np.cumsum([len(x) for x in parts]))
+    def _known(self, pieces: list[bytes]) -> np.ndarray:
+        """Place of each piece in the cache; those not there are learned."""
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
+        if len(missing):
+            fresh = {pieces[i]: None for i in missing.tolist()}
+            first = len(self.place)
+            self._learn(list(fresh))
+            at[missing] = np.arange(first, first + len(missing)) if len(fresh) == len(missing) else [
+                self.place[pieces[i]] for i in missing.tolist()]
+        return at
 
     def _slices(self, text: str) -> Iterator[list[str]]:
         pattern = _BYTE_PIECE if self.by_byte else _WORD_PIECE
@@ -142,13 +151,8 @@ class Encoder:
 
     def _places(self, text: str) -> Iterator[np.ndarray]:
         for pieces in self._slices(text):
-            if len(self.place) > self.limit:
-                self._empty()
-            at = list(map(self.place.get, pieces))
-            if None in at:
-                self._learn([p for p, place in zip(pieces, at, strict=True) if place is None])
-                at = list(map(self.place.get, pieces))
-            yield np.array(at, np.int64)
+            self._make_room()
+            yield self._known([p.encode() for p in pieces])
 
     def _cut(self, text: str) -> bool:
         if not (self.by_byte or self.by_word) or any(t in text for t in self.added):
@@ -192,24 +196,11 @@ class Encoder:
         starts, ends = self._spans(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        # What lies between pieces is told apart like a piece, and then left out.
-        both = np.column_stack((starts, ends)).ravel()
-        new = np.append(True, both[1:] > both[:-1])
-        edges = both[new]
-        codes, spans = distinct_spans(data[edges[0]:], edges[1:] - edges[0])
-        codes = codes[(np.cumsum(new) - 1)[::2]]
-        used = np.zeros(len(spans), bool)
-        used[codes] = True
-        if len(self.place) > self.limit:
-            self._empty()
-        at = np.zeros(len(spans), np.int64)
-        pieces = [x.decode() for x, wanted in zip(spans, used.tolist(), strict=True) if wanted]
-        places = list(map(self.place.get, pieces))
-        if None in places:
-            self._learn([p for p, place in zip(pieces, places, strict=True) if place is None])
-            places = list(map(self.place.get, pieces))
-        at[used] = places
-        return at[codes], np.searchsorted(starts, offsets)
+        # All that lies between pieces is blank.
+        packed = data[_KINDS[data] != _BLANK] if self.by_word else data
+        codes, spans = distinct_spans(packed, np.cumsum(ends - starts))
+        self._make_room()
+        return self._known(spans)[codes], np.searchsorted(starts, offsets)
 
     def _gathered(self, at: np.ndarray) -> np.ndarray:
         lengths = self.lengths[at]
