@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from newsloom.operators import matching
 from newsloom.plans import fixtures
 from newsloom.streaming import item_feed
 from newsloom.streaming.tables import AppendTable, KeyTable
@@ -26,6 +30,18 @@ def test_titles_are_cut_before_items_meet_their_times(spark, tmp_path):
     assert "stringsplitsql" in plan.split("Join")[1] and "stringsplitsql" not in plan.split("Join")[0]
 
 
+def test_titles_meet_without_their_tokens(spark):
+    """Sets of 40 tokens have more bits than a sketch can hold apart, and none of their pairs may be lost."""
+    rng = random.Random(3)
+    sets = [set(rng.sample(range(60 + 400 * (i % 2)), 40)) for i in range(60)]
+    df = spark.createDataFrame([(i, [f"w{t}" for t in s], [0]) for i, s in enumerate(sets)], "sid int, tokens array<string>, blocks array<int>")
+    found = matching.similar_sets(df, df, 0.5, keep=F.col("l_sid") < F.col("r_sid"))
+    want = {(i, j) for j in range(60) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5}
+    assert want and {(r[0], r[1]) for r in found.collect()} == want
+    meetings = [line for line in plan_of(found).splitlines() if "Join Inner" in line and "tok#" in line and "block#" in line]
+    assert meetings and not any("array_intersect" in line for line in meetings)
+
+
 def test_feed_decides_without_texts(spark, tmp_path, monkeypatch):
     cut, stored = item_feed.cut_lineage, []
 
