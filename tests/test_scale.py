@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import matching
+from newsloom.operators import matching, recommend
 from newsloom.plans import fixtures
 from newsloom.streaming import item_feed
 from newsloom.streaming.tables import AppendTable, KeyTable
@@ -62,3 +62,43 @@ def test_feed_decides_without_texts(spark, tmp_path, monkeypatch):
     assert sorted((r["item_id"], r["summary"]) for r in kept.read().select("item_id", "summary").collect()) == [
         (1, "long text 1"), (2, "long text 2"), (13, "long text 3"), (24, "long text 4")]
     assert stored and all("summary" not in columns and "title" not in columns for columns in stored)
+
+
+def factors_of(spark):
+    """Readers 1, 2 and NULL; the last one has no factor of its own, and 3 only interactions."""
+    items = spark.createDataFrame(
+        [(i, f"s{i % 2}" if i else None, "Rust" if i % 2 else "other", None, False, NOW, NOW) for i in range(6)] + [(None, "s1", "Rust", None, False, NOW, NOW)],
+        "item_id bigint, task_id string, title string, summary string, is_read boolean, fetched_at timestamp_ntz, created_at timestamp_ntz")
+    tasks = spark.createDataFrame([("s0", "Zero"), ("s1", "One")], "task_id string, name string")
+    topics = spark.createDataFrame([(1, "rust", 1.0), (None, "rust", 1.0)], "user_id bigint, topic string, weight double")
+    affinity = spark.createDataFrame([(2, "task", "s1", 0.5), (2, "platform", "Zero", 0.2), (None, "task", "s1", 0.9)],
+                                     "user_id bigint, affinity_type string, affinity_value string, affinity_score double")
+    seen = spark.createDataFrame([(1, 2, "view", 30), (3, 2, "view", 30), (None, 2, "view", 30), (1, None, "view", 30)],
+                                 "user_id bigint, item_id bigint, interaction_type string, dwell_seconds int")
+    return recommend.score_factors(items, tasks, topics, affinity, seen, NOW)
+
+
+def test_factors_lie_by_reader(spark):
+    made = factors_of(spark)
+    got = {(r["user_id"], r["item_id"]): (r["topic_score"], r["matched_topic"], r["affinity_score"], round(r["engagement_score"], 6)) for r in made.collect()}
+    assert len(got) == made.count() == 21 and {u for u, _ in got} == {1, 2, None}
+    assert got[1, 1] == (1.0, "rust", 0.0, 0.0) and got[1, 2] == (0.0, None, 0.0, round((1 / 3 + 1) / 2, 6)) and got[1, None] == (0.0, None, 0.0, 0.0)
+    assert got[2, 1] == (0.0, None, 0.3, 0.0) and got[2, 4] == (0.0, None, 0.4 * 0.2, 0.0) and got[2, 0] == (0.0, None, 0.0, 0.0)
+    assert all(v == (0.0, None, 0.0, 0.0) for (u, _), v in got.items() if u is None)
+    labels = spark.createDataFrame([(1,), (99,), (None,)], "item_id bigint")
+    sampled = recommend.sample_for_labeling(recommend.score_candidates(made), labels)
+    assert {r["item_id"] for r in sampled.collect()} == {None, 0, 2, 3, 4, 5}
+    # Rows of readers times pool are ranked where they lie.
+    for ranked in (recommend.recommend(made), recommend.compare_modes(made), sampled):
+        ranked.collect()
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+        assert not [line for line in plan.splitlines() if "hashpartitioning(user_id" in line and "ENSURE_REQUIREMENTS" in line]
+
+
+def test_readers_of_a_topic_are_dealt_out(spark):
+    items = spark.createDataFrame([(i, "the news", None) for i in range(5)], "item_id bigint, title string, summary string")
+    topics = spark.range(4000).selectExpr("id AS user_id", "'the news' AS topic", "1.0D AS weight")
+    made = recommend.topic_scores(items, topics)
+    assert made.count() == 20_000 and made.filter("topic_score = 1 AND matched_topic = 'the news'").count() == 20_000
+    assert "_part#" in "".join(line for line in plan_of(made).splitlines() if "Join Inner" in line and "topic#" in line)
