@@ -99,7 +99,9 @@ def nearest(queries: DataFrame, units: DataFrame, k: int = 10, cells: int = CELL
         return queries.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
     stored = cut_lineage(units.filter("id IS NOT NULL").select("id", "unit", F.explode(_cells(F.col("unit"), around, 1)).alias("cell")))
     looked = _cells(F.col("unit"), around, len(around) if probes is None else probes)
-    asked = cut_lineage(queries.filter("id IS NOT NULL").select(F.col("id").alias("query_id"), F.col("unit").alias("q"), F.explode(looked).alias("cell")))
+    # Written once, and dealt to its cells from there.
+    asked = cut_lineage(queries.filter("id IS NOT NULL").select(F.col("id").alias("query_id"), F.col("unit").alias("q"), looked.alias("cells"))).select(
+        "query_id", "q", F.explode("cells").alias("cell"))
     parts = stored.groupBy("cell").agg(F.ceil(F.count("*") / UNIT_ROWS).cast("int").alias("parts")).join(
         asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("asked_parts")), "cell")
 
