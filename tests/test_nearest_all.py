@@ -10,7 +10,7 @@ from newsloom.plans.fixtures import Tables
 from tests.test_keys_and_vectors import plain_nearest
 
 
-@pytest.mark.parametrize("query", [text_plans.u01_exact])
+@pytest.mark.parametrize("query", [text_plans.u01, text_plans.u01_exact])
 def test_nearest_queries_ask_with_all_vectors(spark, tmp_path, query):
     rows = [(i, [float(i * 37 % 11) - 5, float(i * 53 % 7) - 3, float(i * 29 % 13) - 6]) for i in range(1, 120)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
